@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from typegraph.llm.abuse import OFFENDING, fit, severity
 from typegraph.llm.contamination import contaminated
 from typegraph.llm.source_origin import source_origin
 from typegraph.llm.tokenizer import encode_corpus
@@ -33,5 +34,28 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return contaminated(docs, table(spark, d, "eval_items"), spark)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_origins, p6_ids, p7_found)}
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Severity of every document."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"), spark, "doc_id")
+    model = fit(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+    return severity(docs, model, spark)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that abuse, threaten, hate or are sexually explicit."""
+    return p8_scores(spark, d).filter(F.col("p_offending") >= OFFENDING).select("doc_id")
+
+
+def p8_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of offending documents and mean severity of every source."""
+    offending = (F.col("p_offending") >= OFFENDING).cast("double")
+    return p8_scores(spark, d).groupBy("source").agg(
+        F.count("*").alias("n_docs"), F.avg(offending).alias("rate"), F.avg("severity").alias("mean_severity")
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_origins, p6_ids, p7_found, p8_found, p8_scores, p8_source_rates)
+}
 SQL: dict[str, str] = {}
