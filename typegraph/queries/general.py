@@ -13,14 +13,14 @@ from typegraph.operators.skew import dominant_keys, key_statistics
 from typegraph.plans.scratch import Scratch
 from typegraph.session import table
 
-_UNRESOLVED = F.lit(False)
+
 
 
 def p1_type_stats(spark: SparkSession, d: str) -> DataFrame:
     """References to and distinct referrers of every type, per table."""
     edges, calls = table(spark, d, "type_edges"), table(spark, d, "call_sites")
     e = key_statistics(edges, F.col("edge_id"), target_key(F.col("to_type"), F.col("to_resolved")), bare_key(F.col("from_type")))
-    c = key_statistics(calls, F.col("call_id"), target_key(F.col("callee_type"), _UNRESOLVED), bare_key(F.col("caller_type")))
+    c = key_statistics(calls, F.col("call_id"), target_key(F.col("callee_type"), F.lit(False)), bare_key(F.col("caller_type")))
     return e.withColumn("src_table", F.lit("type_edges")).unionByName(c.withColumn("src_table", F.lit("call_sites")))
 
 
@@ -84,7 +84,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
         F.concat(kind, target_key(F.col("to_type"), F.col("to_resolved"))).alias("key"), "seen_at",
     ).unionByName(calls.select(
         F.lit("call_sites").alias("src_table"), F.col("call_id").alias("ref_id"),
-        F.concat(F.lit("S:"), target_key(F.col("callee_type"), _UNRESOLVED)).alias("key"), "seen_at",
+        F.concat(F.lit("S:"), target_key(F.col("callee_type"), F.lit(False))).alias("key"), "seen_at",
     ))
     never = F.lit(None).cast("timestamp_ntz")
     own = nodes.select(bare_key(F.col("type_name")).alias("n"), F.col("seen_at").alias("born"), F.col("removed_at").alias("died"))
