@@ -21,7 +21,7 @@ FAN_OUT = 20
 
 def dominant_relations(edges: DataFrame) -> DataFrame:
     """(src, dst, relation): the weightiest relation of each pair, the first among equals."""
-    best = F.max_by("relation", F.struct(relation_weight(F.col("relation")).alias("w"), (-F.col("ord")).alias("o")))
+    best = F.max_by("relation", F.struct(relation_weight(F.col("relation")).alias("w"), (-F.col("ord")).alias("o"), "relation"))
     return edges.groupBy("src", "dst").agg(best.alias("relation"))
 
 
