@@ -26,7 +26,8 @@ def p1_type_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Names that at least 2 percent of the references of a table bear."""
-    return dominant_keys(p1_type_stats(spark, d), "src_table", 2).select("src_table", "type_key")
+    stats = Scratch(spark, "stats").save(p1_type_stats(spark, d))  # one row per name, read twice
+    return dominant_keys(stats, "src_table", 2).select("src_table", "type_key")
 
 
 def inheritance_links(spark: SparkSession, d: str) -> DataFrame:
