@@ -101,10 +101,10 @@ def sentences(text: str | None) -> list[str]:
 
 
 def _joined(m: re.Match) -> str:
-    """Spaced letters as a word; a leading one-letter word is set apart as well."""
+    """Spaced letters as a word; a leading article is set apart."""
     spaced = m.group()
     word = re.sub(r"[ \-*._]", "", spaced)
-    return f"{word[0]} {word[1:]}" if spaced[1] == " " and word[0] in "aAiI" and len(word) > 4 else word
+    return f"{word[0]} {word[1:]}" if spaced[1] == " " and word[0] in "aA" and len(word) > 4 else word
 
 
 def _tokens(part: str) -> list[str]:
@@ -130,6 +130,8 @@ def features(sentence: str) -> np.ndarray:
     quoted: list[str] = []
     bare = _QUOTED.sub(lambda m: quoted.append(next(g for g in m.groups() if g)) or " qq ", sentence)
     words = _tokens(bare)
+    if not words and not quoted:
+        return np.zeros(0, dtype=np.int32)
     names = {"w " + w for w in words}
     names.update("b " + a + " " + b for a, b in zip(["<", *words], [*words, ">"]))
     bones = [_VOWEL.sub("", w) or "-" for w in words]
