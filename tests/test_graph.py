@@ -44,7 +44,7 @@ def test_relation_dim(spark):
     assert relation_dim(spark).count() == 12
 
 
-def test_pagerank(spark, graph):
+def test_pagerank(spark, graph, monkeypatch):
     rows, e = graph
     pairs = {(s, d) for _, s, d, _, _ in rows}
     nodes = sorted({x for p in pairs for x in p})
@@ -59,8 +59,12 @@ def test_pagerank(spark, graph):
             for d in out[s]:
                 nxt[d] += 0.85 * r[s] / len(out[s])
         r = nxt
-    got = {x[0]: x[1] for x in pagerank(e, spark).collect()}
-    assert got.keys() == r.keys() and all(math.isclose(got[k], r[k], rel_tol=1e-9) for k in r)
+    import typegraph.operators.rank as rank
+
+    for most in (rank.ONE_TASK_EDGES, 0):
+        monkeypatch.setattr(rank, "ONE_TASK_EDGES", most)
+        got = {x[0]: x[1] for x in pagerank(e, spark).collect()}
+        assert got.keys() == r.keys() and all(math.isclose(got[k], r[k], rel_tol=1e-9) for k in r)
     assert pagerank(e.limit(0), spark).count() == 0
 
 
