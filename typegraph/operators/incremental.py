@@ -52,8 +52,11 @@ class VersionedState:
         done = sorted(n for n in names if n.startswith("v") and n.endswith(".json"))
         if not done:
             return Manifest()
-        text = self.spark.read.text(f"{self.root}/manifests/{done[-1]}", wholetext=True).head()[0]
-        return Manifest(**json.loads(text))
+        stream = fs.open(filesystem(self.spark, f"{self.root}/manifests/{done[-1]}")[1])
+        try:
+            return Manifest(**json.loads(bytes(stream.readAllBytes()).decode()))
+        finally:
+            stream.close()
 
     def write(self, df: DataFrame) -> str:
         """Write a table that no manifest names yet; returns its path."""
@@ -132,19 +135,23 @@ def run_history(spark: SparkSession, rows: DataFrame, runs: DataFrame, root: str
     """Process every succeeded run in turn; (run_id, fragment_id) of the cases.
 
     rows: (key, scanned_at, fragment_id, gone, digest, arrived_at); runs: (run_id,
-    started_at, status), one row per run, a list kept by the scheduler. A run reads what arrived before
+    started_at, status), the scheduler's list, one row per run. A run reads what arrived before
     its start and not before that of the previous succeeded run. Runs without a start
     never ran. Without a succeeded run the result is empty.
     """
     state = VersionedState(spark, root)
     good = runs.filter((F.col("status") == "succeeded") & F.col("started_at").isNotNull()).select("run_id", "started_at").distinct()
-    since = None
-    arrived = F.col("arrived_at")
-    for run in good.orderBy("started_at", "run_id").toLocalIterator():
-        until = F.lit(run["started_at"]).cast("timestamp_ntz")
-        part = rows.filter(arrived < until)
-        if since is not None:
-            part = part.filter(arrived >= since)
-        process_batch(state, part.drop("arrived_at"), run["run_id"], str(run["started_at"]))
-        since = until
+    todo = good.orderBy("started_at", "run_id").collect()
+    if not todo:
+        return state.read([]).select("run_id", "fragment_id")
+    # one pass sorts the rows into the runs that read them; a run then reads its part alone
+    starts = F.array(*[F.lit(r["started_at"]).cast("timestamp_ntz") for r in todo])
+    slot = F.size(F.filter(starts, lambda s: s <= F.col("arrived_at")))
+    inbox = f"{state.root}/inbox"
+    parts = rows.filter("key is not null and arrived_at is not null").withColumn("slot", slot).filter(F.col("slot") < len(todo))
+    parts.drop("arrived_at").hint("rebalance", "slot").write.partitionBy("slot").parquet(inbox)
+    schema = "key string, scanned_at timestamp_ntz, fragment_id bigint, gone boolean, digest string, slot int"
+    sorted_rows = spark.read.schema(schema).parquet(inbox)
+    for k, run in enumerate(todo):
+        process_batch(state, sorted_rows.filter(F.col("slot") == k).drop("slot"), run["run_id"], str(run["started_at"]))
     return state.read(state.current().results).filter("is_case").select("run_id", "fragment_id")

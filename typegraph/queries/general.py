@@ -68,7 +68,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The rows each succeeded run had to take up."""
     f = table(spark, d, "file_fragments")
     rows = f.select(
-        file_key(F.col("file_path")).alias("key"), "scanned_at", "fragment_id",
+        file_key(F.col("file_path")).alias("key"), "scanned_at", F.col("fragment_id").cast("bigint").alias("fragment_id"),
         F.col("is_gone").alias("gone"), F.col("hash").alias("digest"), "arrived_at",
     )
     return run_history(spark, rows, table(spark, d, "scan_runs"), Scratch(spark, "incremental").root)
