@@ -9,9 +9,11 @@ from pyspark.sql import Window as W
 from typegraph.functions.names import bare_key, file_key, last_segment, relation_key, target_key
 from typegraph.operators import resolve, slices, text, traverse
 from typegraph.operators.rank import pagerank
+from typegraph.plans.scratch import Scratch
 from typegraph.queries.general import _bare, _target
 from typegraph.schema import MESSAGE_RELATIONS, RELATIONS, is_test_double, relation_order
 from typegraph.session import table
+from typegraph.streaming.watch import windowed_counts
 
 ORACLE_SCALE = 10  # digits to which ranks are compared
 
@@ -421,10 +423,24 @@ def anti_gone(spark: SparkSession, d: str) -> DataFrame:
     return n.join(f, file_key(n["file_path"]) == F.col("f"), "left_anti").select("key")
 
 
+def stream_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events per hour and type, counted by a stream that reads all there is and ends."""
+    scratch = Scratch(spark, "stream")
+    schema = table(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    counts = windowed_counts(rows, "ts", "event_type", "1 hour", "1 hour")
+    out = counts.writeStream.outputMode("complete").option("checkpointLocation", scratch.root + "/state").trigger(availableNow=True)
+    q = out.foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(scratch.root + "/out")).start()
+    q.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(scratch.root + "/out").select(
+        F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), F.col("key").alias("event_type"), "n"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_stats, node_dedup, ambiguous_names, degrees, dominant_relation, pagerank_all, hubs, name_search, usages, callers_tree,
+        stream_events, graph_stats, node_dedup, ambiguous_names, degrees, dominant_relation, pagerank_all, hubs, name_search, usages, callers_tree,
         trace_paths, bfs_callers, bfs_dependencies, nearby_endpoints, flow_tree, flow_members, call_sites_of, di_resolve,
         symbol_resolve, search_semantic, bm25_documents, term_stats, route_combine, content_hash, incremental_diff, fragment_upsert,
         source_slice, read_numbered, source_budget, compact_context, understand, explore, return_chain, rollup_events,
@@ -658,6 +674,7 @@ SELECT a.t || '>' || a.m || '>' || b.m AS id, b.n AS type_key FROM r a JOIN r b
     "session_events": """
 SELECT user_id, CAST(sum(f) AS BIGINT) AS n_sessions, count(*) AS n_events FROM (
   SELECT user_id, CASE WHEN coalesce(ts > lag(ts) OVER w + INTERVAL 30 MINUTE, true) THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) GROUP BY 1""",
+    "stream_events": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "json_props": "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(json_extract_string(props, '$.k')) AS n FROM events GROUP BY 1",
     "semi_external": _BASE + " SELECT dst AS key, count(*) AS n FROM edge WHERE dst IN (SELECT upper(simple_name) FROM external_types) GROUP BY 1",
     "anti_gone": _BASE + f" SELECT key FROM node WHERE NOT EXISTS (SELECT 1 FROM source_files f WHERE {_FILE.format('f.file_path')} = {_FILE.format('node.file_path')})",
