@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 #: Fitted on at most so many labelled documents, those with the smallest hash of doc_id.
 FIT_DOCUMENTS = 20_000
 #: A text counts as offending from this probability of a grade above 0.
-OFFENDING = 0.4
+OFFENDING = 0.3
 #: Hash buckets of features.
 BUCKETS = 1 << 19
 GRADES = 3
