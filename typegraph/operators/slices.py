@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -48,10 +48,18 @@ def budget_members(members: DataFrame, budget: int) -> DataFrame:
     return m.withColumn("shown_lines", left).withColumn("show", show)
 
 
-def read_numbered(files: DataFrame, nodes: DataFrame, max_lines: int) -> DataFrame:
-    """(file_path, line, text, starts): first lines of files, with numbers padded to five
-    columns, and the types that begin there."""
-    heads = file_lines(files).filter(F.col("line") <= max_lines)
+def _padded(line: Column) -> Column:
+    """The number in five columns, or in as many as it has (lpad alone would cut it)."""
+    n = line.cast("string")
+    return F.lpad(n, F.greatest(F.lit(5), F.length(n)), " ")
+
+
+def read_numbered(files: DataFrame, nodes: DataFrame, max_lines: int | None) -> DataFrame:
+    """(file_path, line, text, starts): first lines of files (all without max_lines), with
+    numbers padded to five columns, and the types that begin there."""
+    heads = file_lines(files)
+    if max_lines is not None:
+        heads = heads.filter(F.col("line") <= max_lines)
     marks = nodes.groupBy("file_path", F.col("start_line").alias("line")).agg(F.array_join(F.sort_array(F.collect_set("key")), ",").alias("starts"))
     out = heads.join(marks, ["file_path", "line"], "left")
-    return out.select("file_path", "line", F.concat(F.lpad(F.col("line").cast("string"), 5, " "), F.lit(" "), "text").alias("text"), F.coalesce("starts", F.lit("")).alias("starts"))
+    return out.select("file_path", "line", F.concat(_padded(F.col("line")), F.lit(" "), "text").alias("text"), F.coalesce("starts", F.lit("")).alias("starts"))

@@ -338,6 +338,12 @@ def read_numbered(spark: SparkSession, d: str) -> DataFrame:
     return slices.read_numbered(files, nodes(spark, d), 10)
 
 
+def read_numbered_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All numbered lines of every file, with the types that begin there."""
+    files = table(spark, d, "source_files").select("file_path", "code").distinct()
+    return slices.read_numbered(files, nodes(spark, d), None)
+
+
 def source_budget(spark: SparkSession, d: str) -> DataFrame:
     """What a budget of 300 lines shows of the types of each namespace, in line order."""
     n = nodes(spark, d).filter("namespace is not null and start_line >= 1 and end_line >= start_line")
@@ -443,7 +449,7 @@ QUERIES = {
         stream_events, graph_stats, node_dedup, ambiguous_names, degrees, dominant_relation, pagerank_all, hubs, name_search, usages, callers_tree,
         trace_paths, bfs_callers, bfs_dependencies, nearby_endpoints, flow_tree, flow_members, call_sites_of, di_resolve,
         symbol_resolve, search_semantic, bm25_documents, term_stats, route_combine, content_hash, incremental_diff, fragment_upsert,
-        source_slice, read_numbered, source_budget, compact_context, understand, explore, return_chain, rollup_events,
+        source_slice, read_numbered, read_numbered_whole, source_budget, compact_context, understand, explore, return_chain, rollup_events,
         session_events, json_props, semi_external, anti_gone,
     )
 }
