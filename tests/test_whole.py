@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from typegraph.operators import slices
+from typegraph import cli
+from typegraph.operators import slices, traverse
+from typegraph.queries import graph as queries
+from typegraph.schema import MESSAGE_RELATIONS, is_test_double
 
 SMALL = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="the test tables are not here")
@@ -33,3 +36,57 @@ def test_read_numbered_beyond_five_digits(spark):
     nodes = spark.createDataFrame([("T", "f", 100_001)], "key string, file_path string, start_line int")
     last = slices.read_numbered(files, nodes, None).filter(F.col("line") > 100_000).collect()
     assert [tuple(r) for r in last] == [("f", 100_001, "100001 end", "T")]
+
+
+def simple_paths(start, back, side, ends, most):
+    """All (endpoint, path, marks) of a walk as the usual tool takes it, by depth-first search."""
+    steps = {}
+    for a, b, mark in back + side:
+        steps.setdefault(a, []).append((b, mark))
+    far = dict.fromkeys(ends, 0)
+    for k in range(1, most):
+        far |= {a: k for a, _, _ in (x for x in back + side if far.get(x[1]) == k - 1) if a not in far}
+    out = set()
+
+    def walk(path, marks):
+        if path[-1] in ends:
+            out.add((path[-1], tuple(path), tuple(marks)))
+            return
+        for to, mark in steps.get(path[-1], []):
+            if to not in path and not (mark == "<->" and mark in marks) and len(path) + 1 + far.get(to, most) <= most:
+                walk([*path, to], [*marks, mark])
+
+    if start in far:
+        walk([start], [])
+    return out
+
+
+@needs_tables
+def test_trace_paths_whole(spark):
+    rows = entry.queries()["trace_paths_whole"](spark, SMALL).collect()
+    e = queries.edges(spark, SMALL)
+    dom = [tuple(r) for r in traverse.dominant_relations(e).select("src", "dst", "relation", is_test_double(F.col("src"))).collect()]
+    users = {}
+    for s, t, _, _ in dom:
+        users.setdefault(t, set()).add(s)
+    back = [(t, s, "=>" if rel in MESSAGE_RELATIONS else "->") for s, t, rel, double in dom if not double]
+    side = [(s, t, "<->") for s, t, rel, _ in dom if rel not in MESSAGE_RELATIONS and len(users[t]) >= 2]
+    names = {r["key"] for r in queries.nodes(spark, SMALL).select("key").collect()}
+    ends = {k for k in names if k.endswith("CONTROLLER")}
+    start = min(names & users.keys(), key=lambda k: (-len(users[k]), k))
+    found = simple_paths(start, back, side, ends, 8)
+    sure = {t for t, _, marks in found if "<->" not in marks}
+    want = {(">".join(p), " ".join(m)) for t, p, m in found if "<->" not in m or t not in sure}
+    assert want and sorted((r["path"], r["marks"]) for r in rows) == sorted(want)
+    assert max(p.count(">") for p, _ in want) == 7
+
+
+def test_trace_follows_long_paths_by_default(spark, tmp_path, capsys):
+    (tmp_path / "src").mkdir()
+    chain = "".join(f"public class Step{k} {{ private readonly Step{k + 1} _next; }} " for k in range(4))
+    code = f'namespace App; public class Step4 {{ }} {chain} [Route("api")] public class HeadController {{ private readonly Step0 _s; [HttpGet("x")] public void Get() {{ }} }}'
+    (tmp_path / "src" / "A.cs").write_text(code)
+    store = str(tmp_path / "store")
+    cli.main([store, "scan", str(tmp_path / "src")])
+    cli.main([store, "trace", "Step4"])
+    assert "APP.HEADCONTROLLER" in capsys.readouterr().out

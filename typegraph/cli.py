@@ -82,6 +82,9 @@ def answer(spark: SparkSession, graph: Graph, command: str, name: str, member: s
 
 COMMANDS = ["scan", "stats", "search", "hubs", "semantic", "read-file", "callers", "usages", "callsites", "trace", "flow", "di", "source", "explore", "understand"]
 
+#: Depth where none is given and it is not 3.
+DEPTHS = {"trace": 8}
+
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="typegraph", description=__doc__)
@@ -89,7 +92,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("command", choices=COMMANDS)
     p.add_argument("name", nargs="?", default="", help="a type, a pattern, a query or a folder to scan")
     p.add_argument("member", nargs="?")
-    p.add_argument("-d", "--depth", type=int, default=3)
+    p.add_argument("-d", "--depth", type=int, help="levels, 3 where none is given; of trace the types of a path, 8")
     p.add_argument("-n", "--limit", type=int, default=50)
     p.add_argument("-r", "--root", help="folder of the sources")
     a = p.parse_args(argv)
@@ -99,7 +102,8 @@ def main(argv: list[str] | None = None) -> None:
         scan(spark, read_sources(spark, a.name), store)
         a.command = "stats"
     graph = build_graph(store.load(), spark)
-    answer(spark, graph, a.command, a.name, a.member, a.depth, a.limit, a.root).show(200, truncate=False)
+    depth = a.depth if a.depth is not None else DEPTHS.get(a.command, 3)
+    answer(spark, graph, a.command, a.name, a.member, depth, a.limit, a.root).show(200, truncate=False)
 
 
 if __name__ == "__main__":

@@ -192,6 +192,12 @@ def trace_paths(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def trace_paths_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of up to eight types, the usual bound, from the most used type back to controllers."""
+    found = traverse.dedupe_traces(traverse.traces(edges(spark, d), endpoints(spark, d), start_type(spark, d), 8, spark))
+    return found.select("endpoint", F.array_join("path", ">").alias("path"), F.array_join("marks", " ").alias("marks"), "label")
+
+
 def _back(e: DataFrame) -> DataFrame:
     return e.filter(~is_test_double(F.col("src"))).select(F.col("dst").alias("at"), F.col("src").alias("to"))
 
@@ -447,7 +453,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stream_events, graph_stats, node_dedup, ambiguous_names, degrees, dominant_relation, pagerank_all, hubs, name_search, usages, callers_tree,
-        trace_paths, bfs_callers, bfs_dependencies, nearby_endpoints, flow_tree, flow_members, call_sites_of, di_resolve,
+        trace_paths, trace_paths_whole, bfs_callers, bfs_dependencies, nearby_endpoints, flow_tree, flow_members, call_sites_of, di_resolve,
         symbol_resolve, search_semantic, bm25_documents, term_stats, route_combine, content_hash, incremental_diff, fragment_upsert,
         source_slice, read_numbered, read_numbered_whole, source_budget, compact_context, understand, explore, return_chain, rollup_events,
         session_events, json_props, semi_external, anti_gone,
