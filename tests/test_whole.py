@@ -90,3 +90,18 @@ def test_trace_follows_long_paths_by_default(spark, tmp_path, capsys):
     cli.main([store, "scan", str(tmp_path / "src")])
     cli.main([store, "trace", "Step4"])
     assert "APP.HEADCONTROLLER" in capsys.readouterr().out
+
+
+@needs_tables
+def test_source_slice_whole(spark):
+    rows = entry.queries()["source_slice_whole"](spark, SMALL).collect()
+    texts = {}
+    for p, ls in source_lines():
+        texts.setdefault(p, []).append(ls)
+    want = [
+        (n["key"], k, ls[k - 1])
+        for n in queries.nodes(spark, SMALL).collect() if (n["start_line"] or 0) >= 1 and n["end_line"]
+        for ls in texts.get(n["file_path"], []) for k in range(n["start_line"], min(n["end_line"], len(ls)) + 1)
+    ]
+    assert sorted((r["span_id"], r["line"], r["text"]) for r in rows) == sorted(want)
+    assert len(rows) > entry.queries()["source_slice"](spark, SMALL).count()

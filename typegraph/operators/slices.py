@@ -13,17 +13,18 @@ def file_lines(files: DataFrame) -> DataFrame:
     return at.select("file_path", (F.col("p") + 1).alias("line"), "text")
 
 
-def slice_spans(files: DataFrame, spans: DataFrame, max_lines: int) -> DataFrame:
-    """(span_id, file_path, line, text, truncated): the first lines of each span.
+def slice_spans(files: DataFrame, spans: DataFrame, max_lines: int | None) -> DataFrame:
+    """(span_id, file_path, line, text, truncated): the first lines of each span, all without max_lines.
 
     spans: (span_id, file_path, start_line, end_line). The file's lines are cut as an array
     before they are exploded. Spans beyond the file's end give what is there.
     """
     f = files.select("file_path", F.split("code", "\r\n|\n|\r").alias("ls"))
     s = spans.join(f, "file_path").filter("start_line >= 1 and end_line >= start_line and start_line <= size(ls)")
-    size = F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(max_lines))
+    whole = F.col("end_line") - F.col("start_line") + 1
+    size = whole if max_lines is None else F.least(whole, F.lit(max_lines))
     cut = s.select(
-        "span_id", "file_path", "start_line", (F.col("end_line") - F.col("start_line") + 1 > max_lines).alias("truncated"),
+        "span_id", "file_path", "start_line", (F.lit(False) if max_lines is None else whole > max_lines).alias("truncated"),
         F.posexplode(F.slice("ls", F.col("start_line"), size)).alias("p", "text"),
     )
     return cut.select("span_id", "file_path", (F.col("start_line") + F.col("p")).alias("line"), "text", "truncated")

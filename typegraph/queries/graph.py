@@ -338,6 +338,13 @@ def source_slice(spark: SparkSession, d: str) -> DataFrame:
     return slices.slice_spans(files, spans, 20).select("span_id", "line", "text", "truncated")
 
 
+def source_slice_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All lines behind every declared type that lies in a known file."""
+    files = table(spark, d, "source_files").select("file_path", "code").distinct()
+    spans = nodes(spark, d).select(F.col("key").alias("span_id"), "file_path", "start_line", "end_line")
+    return slices.slice_spans(files, spans, None).select("span_id", "line", "text")
+
+
 def read_numbered(spark: SparkSession, d: str) -> DataFrame:
     """The first ten numbered lines of every file, with the types that begin there."""
     files = table(spark, d, "source_files").select("file_path", "code").distinct()
@@ -455,7 +462,7 @@ QUERIES = {
         stream_events, graph_stats, node_dedup, ambiguous_names, degrees, dominant_relation, pagerank_all, hubs, name_search, usages, callers_tree,
         trace_paths, trace_paths_whole, bfs_callers, bfs_dependencies, nearby_endpoints, flow_tree, flow_members, call_sites_of, di_resolve,
         symbol_resolve, search_semantic, bm25_documents, term_stats, route_combine, content_hash, incremental_diff, fragment_upsert,
-        source_slice, read_numbered, read_numbered_whole, source_budget, compact_context, understand, explore, return_chain, rollup_events,
+        source_slice, source_slice_whole, read_numbered, read_numbered_whole, source_budget, compact_context, understand, explore, return_chain, rollup_events,
         session_events, json_props, semi_external, anti_gone,
     )
 }
