@@ -1,6 +1,8 @@
 """Queries that do the whole job, against brute force over the smallest tables."""
 
+import datetime as dt
 import os
+import random
 import re
 
 import duckdb
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from typegraph import cli
-from typegraph.operators import slices, traverse
+from typegraph.operators import incremental, slices, traverse
+from typegraph.plans.scratch import Scratch
 from typegraph.queries import graph as queries
 from typegraph.schema import MESSAGE_RELATIONS, is_test_double
 
@@ -105,3 +108,34 @@ def test_source_slice_whole(spark):
     ]
     assert sorted((r["span_id"], r["line"], r["text"]) for r in rows) == sorted(want)
     assert len(rows) > entry.queries()["source_slice"](spark, SMALL).count()
+
+
+def test_broken_history_goes_on(spark, monkeypatch):
+    rnd, t0, hour = random.Random(3), dt.datetime(2025, 1, 1), dt.timedelta(hours=1)
+    rows = []
+    for i in range(120):
+        scanned = t0 + rnd.randrange(60) * hour
+        rows.append((f"f{rnd.randrange(12)}", scanned, i, rnd.random() < 0.15, rnd.choice("abc") * 40, scanned + rnd.randrange(20) * hour))
+    df = spark.createDataFrame(rows, "key string, scanned_at timestamp_ntz, fragment_id long, gone boolean, digest string, arrived_at timestamp_ntz")
+    runs = [(k, t0 + (k * 15 + 1) * hour, "succeeded") for k in range(6)]
+    rf = spark.createDataFrame(runs, "run_id long, started_at timestamp_ntz, status string")
+    whole = incremental.run_history(spark, df, rf, Scratch(spark, "t").root).collect()
+
+    real, done = incremental.process_batch, []
+
+    def batch(state, part, run_id, read_before=None):
+        if run_id == 3 and not done.count("broken"):
+            done.append("broken")
+            raise OSError("the machine went down")
+        done.append(run_id)
+        return real(state, part, run_id, read_before)
+
+    monkeypatch.setattr(incremental, "process_batch", batch)
+    root = Scratch(spark, "t").root
+    with pytest.raises(OSError):
+        incremental.run_history(spark, df, rf.filter("run_id < 5"), root)
+    incremental.run_history(spark, df, rf.filter("run_id < 5"), root)
+    incremental.run_history(spark, df, rf.filter("run_id = 5"), root)  # later runs alone
+    again = incremental.run_history(spark, df, rf, root).collect()
+    assert done == [0, 1, 2, "broken", 3, 4, 5]
+    assert whole and sorted(map(tuple, again)) == sorted(map(tuple, whole))

@@ -13,11 +13,12 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typegraph.plans.scratch import filesystem
+from typegraph.plans.scratch import filesystem, remove_path
 
 _SCHEMA = (
     "key string, scanned_at timestamp_ntz, fragment_id bigint, gone boolean, digest string, "
@@ -123,7 +124,7 @@ def process_batch(state: VersionedState, batch: DataFrame, run_id: int, read_bef
         F.lit(run_id).cast("bigint").alias("run_id"), F.lit(version).cast("bigint").alias("version"), case.alias("is_case"),
     )
     table = state.write(decided)
-    then = Manifest(version, [*at.state, table], [*at.results, table], read_before)
+    then = Manifest(version, [*at.state, table], [*at.results, table], read_before or at.read_before)
     if len(then.state) > COMPACT_AFTER:
         whole = state.known(then).withColumns({"run_id": F.lit(run_id).cast("bigint"), "is_case": F.lit(False)})
         then.state = [state.write(whole.select(*[c.split()[0] for c in _SCHEMA.split(", ")]))]
@@ -137,21 +138,27 @@ def run_history(spark: SparkSession, rows: DataFrame, runs: DataFrame, root: str
     rows: (key, scanned_at, fragment_id, gone, digest, arrived_at); runs: (run_id,
     started_at, status), the scheduler's list, one row per run. A run reads what arrived before
     its start and not before that of the previous succeeded run. Runs without a start
-    never ran. Without a succeeded run the result is empty.
+    never ran. Without a succeeded run the result is empty. On a root with committed runs only
+    those are processed that start after the last of these; the result has the cases of all.
     """
     state = VersionedState(spark, root)
+    before = state.current().read_before
+    since = [datetime.fromisoformat(before)] if before else []
     good = runs.filter((F.col("status") == "succeeded") & F.col("started_at").isNotNull()).select("run_id", "started_at").distinct()
-    todo = good.orderBy("started_at", "run_id").collect()
-    if not todo:
-        return state.read([]).select("run_id", "fragment_id")
-    # one pass sorts the rows into the runs that read them; a run then reads its part alone
-    starts = F.array(*[F.lit(r["started_at"]).cast("timestamp_ntz") for r in todo])
-    slot = F.size(F.filter(starts, lambda s: s <= F.col("arrived_at")))
-    inbox = f"{state.root}/inbox"
-    parts = rows.filter("key is not null and arrived_at is not null").withColumn("slot", slot).filter(F.col("slot") < len(todo))
-    parts.drop("arrived_at").hint("rebalance", "slot").write.partitionBy("slot").parquet(inbox)
-    schema = "key string, scanned_at timestamp_ntz, fragment_id bigint, gone boolean, digest string, slot int"
-    sorted_rows = spark.read.schema(schema).parquet(inbox)
-    for k, run in enumerate(todo):
-        process_batch(state, sorted_rows.filter(F.col("slot") == k).drop("slot"), run["run_id"], str(run["started_at"]))
+    todo = [r for r in good.orderBy("started_at", "run_id").collect() if not since or r["started_at"] > since[0]]
+    if todo:
+        # one pass sorts the rows into the runs that read them; a run then reads its part alone
+        starts = F.array(*[F.lit(s).cast("timestamp_ntz") for s in (*since, *[r["started_at"] for r in todo])])
+        slot = F.size(F.filter(starts, lambda s: s <= F.col("arrived_at"))) - len(since)
+        inbox = f"{state.root}/inbox-{uuid.uuid4().hex}"
+        parts = rows.filter("key is not null and arrived_at is not null").withColumn("slot", slot)
+        parts = parts.filter((F.col("slot") >= 0) & (F.col("slot") < len(todo)))
+        try:
+            parts.drop("arrived_at").hint("rebalance", "slot").write.partitionBy("slot").parquet(inbox)
+            schema = "key string, scanned_at timestamp_ntz, fragment_id bigint, gone boolean, digest string, slot int"
+            sorted_rows = spark.read.schema(schema).parquet(inbox)
+            for k, run in enumerate(todo):
+                process_batch(state, sorted_rows.filter(F.col("slot") == k).drop("slot"), run["run_id"], str(run["started_at"]))
+        finally:
+            remove_path(spark, inbox)
     return state.read(state.current().results).filter("is_case").select("run_id", "fragment_id")
