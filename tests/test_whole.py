@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from typegraph import cli
+from typegraph.extract.scan import fragments
 from typegraph.operators import incremental, slices, traverse
+from typegraph.plans.index import build_graph
 from typegraph.plans.scratch import Scratch
 from typegraph.queries import graph as queries
 from typegraph.schema import MESSAGE_RELATIONS, is_test_double
@@ -139,3 +141,11 @@ def test_broken_history_goes_on(spark, monkeypatch):
     again = incremental.run_history(spark, df, rf, root).collect()
     assert done == [0, 1, 2, "broken", 3, 4, 5]
     assert whole and sorted(map(tuple, again)) == sorted(map(tuple, whole))
+
+
+def test_long_chains_of_locals(spark):
+    body = "var v0 = _node.Next(); " + "".join(f"var v{k} = v{k - 1}.Next(); v{k}.Use{k}(); " for k in range(1, 9)) + "var p = q.Next(); var q = p.Next();"
+    code = f"namespace App; public interface INode {{ INode Next(); }} public class Host {{ private readonly INode _node; public void Go() {{ {body} }} }}"
+    g = build_graph(fragments(spark.createDataFrame([("a.cs", code)], "file_path string, code string")), spark)
+    got = {r["callee_member"] for r in g.calls.filter("callee = 'APP.INODE'").collect()}
+    assert {f"Use{k}" for k in range(1, 9)} <= got

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from typegraph.operators.resolve import dedupe_nodes, fold_steps, resolve_symbols
 from typegraph.plans.scratch import Scratch
 
-#: Rounds in which locals that take their type from other locals are resolved.
+#: Least rounds in which locals that take their type from other locals are resolved.
 LOCAL_ROUNDS = 3
 
 
@@ -102,12 +102,17 @@ def build_graph(fragments: DataFrame, spark: SparkSession) -> Graph:
     )
     longest = lr.select(F.size("members").alias("n")).union(pr.select(F.size("members"))).agg(F.max("n")).head()[0] or 0
     done = scratch.save(_latest(fold_steps(lr.filter("type_key is not null"), longest, returns).join(lr.drop("type_key"), "id")))
-    for _ in range(LOCAL_ROUNDS if not lr.filter("type_key is null").isEmpty() else 0):
+    # a local's place only moves on to later assignments, so the rounds end, in circles as well
+    place = ["owner", "declaring_member", "local_name", "file_path", "ord"]
+    rounds, moved = 0, not lr.filter("type_key is null").isEmpty()
+    while moved:
         open_ = lr.filter("type_key is null").drop("type_key").join(
             done.select("owner", "declaring_member", F.col("local_name").alias("root_name"), F.col("type_key")), ["owner", "declaring_member", "root_name"]
         )
         more = fold_steps(open_, longest, returns).join(lr.drop("type_key"), "id")
-        done = scratch.save(_latest(done.unionByName(_latest(more), allowMissingColumns=True)))
+        was, done = done, scratch.save(_latest(done.unionByName(_latest(more), allowMissingColumns=True)))
+        rounds += 1
+        moved = rounds < LOCAL_ROUNDS or not done.join(was, place, "left_anti").isEmpty()
     roots = done.select("owner", F.col("declaring_member").alias("__m"), F.col("local_name").alias("__l"), F.col("type_key").alias("__t"))
     p = pr.join(roots, (F.upper("caller_type") == F.col("owner")) & (F.col("caller_member") == F.col("__m")) & (F.col("root_name") == F.col("__l")), "left")
     p = p.withColumn("type_key", F.coalesce("type_key", "__t")).filter("type_key is not null")
