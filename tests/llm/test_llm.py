@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from typegraph.llm.abuse import BUCKETS, OrdinalModel, features, fit, fit_documents, fit_ordinal, score_text, sentences, severity
+from typegraph.llm import abuse
+from typegraph.llm.abuse import BUCKETS, OFFENDING, OrdinalModel, fit, fit_documents, fit_ordinal, score_texts, segments, severity
 from typegraph.llm.contamination import best_alignment, contaminated, leaks
 from typegraph.llm.layout import layout
 from typegraph.llm.source_origin import source_origin, verdicts
@@ -145,24 +146,26 @@ GENERATED = "namespace Acme.Shop\n{\n  partial class Form\n  {\n    void Init()\
 MINIFIED = "!function(e,t){" + "".join(f'if(!q[{k}])throw Error("e{k}");for(var o={k};o--;)jo(o<<6);' for k in range(60)) + "}();"
 DATA = "namespace Acme.Shop;\npublic static class T\n{\n  public static int[] V = {\n" + "\n".join("    " + ", ".join(str(k * 7919 % 99991) for k in range(r, r + 12)) + "," for r in range(40)) + "\n  };\n}\n"
 EMITTER = 'namespace Acme.Shop;\npublic class Emitter\n{\n    public string Head(string name)\n    {\n        var s = "// <auto-generated/>";\n        return s + name.Trim();\n    }\n    public int N => 3;\n    public void Go(int k) { if (k > N) Call(k); else Stop(); }\n}\n'
+TWICE = HAND.replace("Plan", "Twice") % (1, 1, 1) + "".join(f"class T{k} {{ int Go{k}(int a) {{ return a * {k} + other.Count; }} }}\n" for k in range(6))
 LIB = "using System;\nnamespace Fern.Core\n{\n" + "".join(
     f"  public class Fern{k}\n  {{\n    public int Get{k}(int a) {{ var row{k} = a * {k} + offset; return row{k} > limit ? row{k} : a; }}\n  }}\n" for k in range(8)
 ) + "}\n"
 
 
 def test_verdicts():
-    flags = lambda p, c: verdicts(p, c)[5:9]  # noqa: E731 (minified, generated, data, vendor)
-    at = "repos/r/src/Acme.Shop/"
-    assert flags(at + "Orders/OrderPlanner1.cs", HAND % (1, 1, 1)) == (False, False, False, False)
-    assert flags(at + "Emitter.cs", EMITTER) == (False, False, False, False)
-    assert flags(at + "Form.cs", GENERATED)[1] and flags(at + "a.js", MINIFIED)[0] and flags(at + "T.cs", DATA)[2]
-    assert flags(at + "a.js", "﻿/*! x */\r\n" + MINIFIED)[0]
-    assert flags(at + "vendor/fern-1.0/A.cs", HAND % (1, 1, 1))[3]
-    assert flags(at + "A.cs", "// Licensed to the Fern Foundation under one or more agreements.\n" + HAND % (1, 1, 1))[3]
-    assert not flags(at + "A.cs", "// Copyright (c) the Acme contributors\n" + HAND % (1, 1, 1))[3]
-    assert flags(at + "X.g.cs", None)[1] and flags(at + "x.min.js", "")[0]
-    for odd in (None, "", " \n", "\x00", "{" * 5000, '"', "/*", "é" * 100_000):
-        verdicts(None, odd), verdicts("x", odd)
+    flags = lambda c: verdicts("repos/r/src/Acme.Shop/A.cs", c)[2:5]  # noqa: E731 (minified, generated, data)
+    assert flags(HAND % (1, 1, 1)) == (False, False, False) and flags(EMITTER) == (False, False, False)
+    assert flags(GENERATED)[1] and flags(MINIFIED)[0] and flags(DATA)[2]
+    assert flags("﻿/*! x */\r\n" + MINIFIED)[0]
+    for odd in (None, "", " \n", "\x00", "{" * 5000, '"', "/*", "é" * 100_000, "#", "//", ")" * 9 + ";", "\udc80 x"):
+        verdicts("x", odd)
+
+
+@pytest.mark.parametrize("path", ["a/vendor/x-1.0/A.cs", "a/obj/X.g.cs", "a/js/x.min.js", "A.cs", ""])
+@pytest.mark.parametrize("head", ["", "// <auto-generated/> do not edit\n", "// Licensed to the Fern Foundation\n"])
+def test_paths_and_heads_do_not_count(path, head):
+    assert verdicts(path, head + HAND % (1, 1, 1))[2:5] == (False, False, False)
+    assert verdicts(path, None)[2:] == (False, False, False, None, [])
 
 
 def test_layout_ignores_form():
@@ -174,16 +177,17 @@ def test_source_origin(spark):
     rows = [(f"repos/r{k}/src/Acme.Shop/Orders/OrderPlanner{k}.cs", HAND % (k, k, k * 13)) for k in range(8)]
     rows += [
         ("repos/a/src/Acme.Shop/Form.cs", GENERATED), ("repos/a/src/Acme.Shop/app.js", MINIFIED), ("repos/a/src/Acme.Shop/T.cs", DATA),
-        ("repos/a/src/Acme.Shop/Emitter.cs", EMITTER), ("repos/a/src/Acme.Shop/vendor/fern-1.0/Fern1.cs", LIB),
+        ("repos/a/src/Acme.Shop/Emitter.cs", EMITTER), ("repos/a/src/Acme.Shop/Util/Fern1.cs", LIB),
         ("repos/b/src/Beta.Web/Util/Fern2.cs", "// ours\n" + LIB), ("repos/c/src/Gamma.Api/Util/Helper.cs", LIB.replace("Fern.Core", "Gamma.Api").replace("Get3", "Fetch3")),
-        ("repos/d/src/Delta.Job/Util/Fern7.cs", None), ("repos/d/src/Delta.Job/Util/Own.cs", None), (None, LIB),
+        ("repos/d/src/Delta.Job/vendor/Fern7.cs", None), ("repos/d/src/Delta.Job/Util/Own.cs", " \n"), (None, LIB),
+        ("repos/e/src/Eta.Web/A.cs", TWICE), ("repos/e/src/Eta.Web/Moved/A.cs", TWICE),
     ]
     rows += rows[:3]
-    df = spark.createDataFrame(rows, "file_path string, code string").withColumn("project", F.lit(1)).withColumn("ns", F.lit("x"))
+    df = spark.createDataFrame(rows, "file_path string, code string").withColumn("project", F.lit(1)).withColumn("known", F.lit("x"))
     got = {r[0]: r[1] for r in source_origin(df, spark).collect()}
     want = {p: "hand" for p, _ in rows if p}
     want |= {"repos/a/src/Acme.Shop/Form.cs": "generated", "repos/a/src/Acme.Shop/app.js": "minified", "repos/a/src/Acme.Shop/T.cs": "data"}
-    want |= dict.fromkeys(["repos/a/src/Acme.Shop/vendor/fern-1.0/Fern1.cs", "repos/b/src/Beta.Web/Util/Fern2.cs", "repos/c/src/Gamma.Api/Util/Helper.cs", "repos/d/src/Delta.Job/Util/Fern7.cs"], "vendored")
+    want |= dict.fromkeys(["repos/a/src/Acme.Shop/Util/Fern1.cs", "repos/b/src/Beta.Web/Util/Fern2.cs", "repos/c/src/Gamma.Api/Util/Helper.cs"], "vendored")
     assert got == want
     assert source_origin(df.limit(0), spark).count() == 0
 
@@ -200,23 +204,57 @@ def test_source_origin(spark):
     ],
 )
 def test_spelling_tricks(plain, tricked):
-    bag = lambda s: set(np.concatenate([features(x) for x in sentences(s)]).tolist())
     a, b = bag(plain), bag(tricked)
     assert len(a & b) >= 0.6 * len(a)
 
 
+def bag(*texts):
+    return set(segments(list(enumerate(texts)), abuse._Tokens()).bucket.tolist())
+
+
 def test_quotes_are_features_of_their_own():
-    assert not set(features('the word "moron" here').tolist()) >= set(features("the word moron here").tolist())
+    assert not bag('the word "moron" here') >= bag("the word moron here")
+
+
+def brute_features(words):
+    """Names of the features of one segment without quotations."""
+    bones = [re.sub("[aeiouy0-9*@$!]+", "", w) or "-" for w in words]
+    out = {("w", w) for w in words} | {("b", a, b) for a, b in zip(["<", *words], [*words, ">"])}
+    out |= {("s2", a, b) for a, b in zip(bones, bones[1:])} | {("s3", *t) for t in zip(bones, bones[1:], bones[2:])}
+    return out | {("s1", b) for b in bones if len(b) >= 3}
+
+
+def test_features_brute():
+    rnd = random.Random(5)
+    words = ["moron", "the", "a", "stale", "cache", "go", "eat"]
+    for _ in range(40):
+        sentence = [[rnd.choice(words) for _ in range(rnd.randrange(1, 6))] for _ in range(rnd.randrange(1, 4))]
+        text = ", ".join(" ".join(c) for c in sentence)
+        s = segments([(0, text), (1, text)], abuse._Tokens())
+        parts = {tuple(w for c in sentence for w in c)} | ({tuple(c) for c in sentence} if len(sentence) > 1 else set())
+        assert s.n == len(parts) and len(s.use) == 2 * (1 + (len(sentence) if len(sentence) > 1 else 0))
+        sizes = sorted(len(brute_features(p)) for p in parts)
+        assert sorted(np.bincount(s.seg, minlength=s.n).tolist()) == sizes  # no buckets meet among so few
+
+
+def test_long_texts_are_cut_at_sentences(monkeypatch):
+    rnd = np.random.default_rng(1)
+    m = OrdinalModel(rnd.normal(size=BUCKETS), np.array([1.0, 2.0]))
+    texts = ["You are late. The cache is slow, so wait.\n" * 30 + "Only this differs!", None, "", "word " * 400, "x"]
+    want = score_texts(texts, m)
+    monkeypatch.setattr(abuse, "SLICE_CHARS", 50)
+    monkeypatch.setattr(abuse, "REMEMBERED", 3)
+    assert np.allclose(score_texts(texts, m), want) and np.isinf(want[1]) and np.isinf(want[2])
 
 
 def test_ordinal_fit_recovers_order():
     rnd = np.random.default_rng(0)
-    rows, grades = [], []
+    bucket, grades = [], []
     for _ in range(600):
         k = int(rnd.integers(0, 3))
-        rows.append(np.array(sorted({k, int(10 + rnd.integers(0, 5))}), dtype=np.int32))
+        bucket += [k, int(10 + rnd.integers(0, 5))]
         grades.append(k if rnd.random() > 0.05 else int(rnd.integers(0, 3)))
-    m = fit_ordinal(rows, np.array(grades), np.ones(len(rows)))
+    m = fit_ordinal(np.repeat(np.arange(600), 2), np.array(bucket), np.array(grades), np.ones(600))
     z = m.weights[:3]
     assert z[0] < z[1] < z[2] and m.thresholds[0] < m.thresholds[1]
     above = m.above(z)
@@ -242,8 +280,23 @@ def test_held_out_accuracy():
     rnd = random.Random(3)
     train, test = corpus(rnd, 500), corpus(rnd, 300)
     m = fit_documents([t for t, _ in train], [2 * (g if rnd.random() > 0.05 else 1 - g) for _, g in train], [1] * len(train))
-    right = sum((m.above(np.array([score_text(t, m, {})]))[0, 0] >= 0.4) == bool(g) for t, g in test)
-    assert right >= 0.95 * len(test)
+    found = m.above(score_texts([t for t, _ in test], m))[:, 0] >= OFFENDING
+    assert (found == np.array([bool(g) for _, g in test])).sum() >= 0.95 * len(test)
+
+
+def test_held_out_labels(spark):
+    """Five folds over the labelled documents of sf0.1, with the threshold that is shipped."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "doc_labels"))
+    rows = abuse.labelled(docs.dropDuplicates(["doc_id"]), labels).orderBy("doc_id").collect()
+    fold = np.random.default_rng(1).integers(0, 5, len(rows))
+    found, true = np.zeros(len(rows), dtype=bool), np.array([r["grade"] == 2 for r in rows])
+    for k in range(5):
+        train = [r for r, f in zip(rows, fold) if f != k]
+        m = fit_documents([r["text"] for r in train], [r["grade"] for r in train], [r["votes"] for r in train])
+        z = score_texts([r["text"] for r, f in zip(rows, fold) if f == k], m)
+        found[fold == k] = np.where(np.isfinite(z), m.above(np.maximum(z, -1e6))[:, 0] >= OFFENDING, False)
+    assert (found & true).sum() >= 0.6 * true.sum() and (found & true).sum() >= 0.8 * found.sum()
 
 
 def test_severity_edges(spark):
@@ -257,7 +310,7 @@ def test_severity_edges(spark):
     assert all(0 <= r["severity"] <= 2 for r in got.values())
     empty = fit(docs, labels.limit(0))
     assert isinstance(empty, OrdinalModel) and len(empty.weights) == BUCKETS
-    assert severity(docs, empty, spark).filter("p_offending >= 0.4").count() == 0
+    assert severity(docs, empty, spark).filter(F.col("p_offending") > 0.3).count() == 0
     assert severity(docs.limit(0), empty, spark).count() == 0
 
 
