@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from typegraph.llm import abuse
 from typegraph.llm.abuse import BUCKETS, OFFENDING, OrdinalModel, fit, fit_documents, fit_ordinal, score_texts, segments, severity
-from typegraph.llm.contamination import best_alignment, contaminated, leaks
+from typegraph.llm.contamination import best_alignment, candidates, contaminated, grams_of, leaks, words_of
 from typegraph.llm.layout import layout
 from typegraph.llm.source_origin import source_origin, verdicts
 from typegraph.llm.tokenizer import FOLDER, PATTERN, PairIndexEncoder, encode_corpus, read_ranks
+from typegraph.plans.scratch import Scratch
 
 ODD = ["", None, " ", "\n\n \n x", "don't we'll I'VE", "aaaaaaaaaaaaaaaaa", "<|endoftext|> is text", "日本語 مرحبا Ω≈ç√ 🏴󠁧󠁢󠁳󠁣󠁴󠁿", "a\x00b\x1c\x1d\x85​﻿", "x" * 20_000, "1234567 12 3", "\t\t  a \r\n b  "]
 
@@ -123,6 +124,55 @@ def test_contaminated(spark):
     assert contaminated(d, i.limit(0), spark).count() == 0
 
 
+def test_blocks_of_long_items():
+    item = [f"v{k}" for k in range(1000)]
+    own = [True] * 998
+    for first in range(0, 980, 37):
+        assert leaks(item, own, ["x"] * 9 + item[first : first + 20] + ["y"] * 9, 20)
+        assert not leaks(item, own, ["x"] * 9 + item[first : first + 17] + ["y"] * 9, 20)
+    assert leaks(item, own, item, 20) and not leaks(item, [False] * 998, item, 20)
+
+
+def test_memory_does_not_follow_the_text():
+    import tracemalloc
+
+    rnd = random.Random(8)
+    peaks = []
+    for n in (100_000, 1_000_000):
+        text = [rnd.choice(ITEM) for _ in range(n)]
+        full = [w for k in range(0, n, 500) for w in (ITEM[7:11] + text[k : k + 496])]
+        tracemalloc.start()
+        leaks(ITEM, OWN, full[:n], 20)
+        peaks.append(tracemalloc.get_traced_memory()[1] / n)
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] < 200  # bytes a word: the codes of the text, no matrix over it
+
+
+def test_common_phrases_make_few_candidates(spark):
+    """Each item owns many phrases by accident that stand in nearly all documents."""
+    rnd = random.Random(9)
+    phrases = [[f"p{k}a", f"p{k}b", f"p{k}c", f"p{k}d"][: 3 + k % 2] for k in range(300)]
+    items, docs, true = [], [], set()
+    for i in range(30):
+        mine = phrases[10 * i : 10 * i + 10]
+        items.append((i, [w for p in mine for w in [*p, *(f"i{i}w{rnd.randrange(10**6)}" for _ in range(5))]]))
+    for d in range(120):
+        words = [w for p in rnd.sample(phrases, 150) for w in [*p, f"f{rnd.randrange(10**6)}"]]
+        if d % 10 == 0:
+            i = rnd.randrange(30)
+            at = rnd.randrange(len(items[i][1]) - 30)
+            words[200:200] = items[i][1][at : at + 30]
+            true.add((d, i))
+        docs.append((d, words))
+    frame = lambda rows, c: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{c} long, text string")
+    df, it = frame(docs, "doc_id"), frame(items, "item_id")
+    assert {tuple(r) for r in contaminated(df, it, spark).collect()} == true
+    seeds = it.select("item_id", F.posexplode(grams_of(words_of(F.col("text")))).alias("k", "gram"))
+    found = {tuple(r) for r in candidates(df, seeds, Scratch(spark, "test")).collect()}
+    at_will = sum(len({w for w in words} & set(item)) >= 6 for _, words in docs for _, item in items)
+    assert true <= found and at_will > 3000 and len(found) < 0.05 * at_will
+
+
 # ---- origins of source files
 
 HAND = """using System;

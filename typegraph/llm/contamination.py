@@ -2,9 +2,14 @@
 
 Rare n-grams seed the search: an n-gram that one item alone has is a seed, wording that
 several items share is none. The n-grams of all documents meet the seeds in one join
-(broadcast only if the seeds are measured small), and documents with seeds of an item are
-aligned with that item word by word (Smith-Waterman), which carries a passage over words
-that were replaced, dropped or added.
+(broadcast only if the seeds are measured small). Seeds of
+an item must stand as far from each other in the document as in the item, but for a few
+words. Two are enough if one is rare in the corpus. Common phrases that one item has by
+accident stand all over a corpus, and so do passages that were copied often; where all
+seeds are common, several must agree. These counts are combined
+before the shuffle. Documents that pass are aligned with the item word by word
+(Smith-Waterman), which carries a passage over words that were replaced, dropped or added.
+Alignments run in blocks of an item around seeds, so their memory depends on neither length.
 """
 
 from __future__ import annotations
@@ -21,8 +26,14 @@ from typegraph.plans.scratch import Scratch
 
 #: Words of a seed; a run between two replaced words must hold one.
 SEED_WORDS = 3
-#: Different seeds of one item that make a document a candidate.
-LEAST_SEEDS = 2
+#: A seed is common if it stands more often than once in so many documents, and more often than COMMON_LEAST.
+COMMON_PART, COMMON_LEAST = 1000, 20
+#: Seeds that must agree where all are common.
+COMMON_SEEDS = 5
+#: Words by which the distance of two seeds may differ between document and item.
+DRIFT = 16
+#: Words of an item that are aligned at once.
+BLOCK_WORDS = 256
 MATCH, MISMATCH, GAP = 2, -1, -3
 #: Part of the aligned words that must be equal.
 LEAST_EQUAL = 0.65
@@ -77,44 +88,98 @@ def best_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, i
     return score, i, int(i1) - 1, j * (m + 1) + int(j1), equal
 
 
-def leaks(item: list[str], own: list[bool], text: list[str], least_words: int) -> bool:
+def _spans(hits: list[int], before: int, behind: int, longest: int) -> list[tuple[int, int]]:
+    """Ranges around hits; a range longer than ``longest`` is cut into overlapping ones that
+    hold every stretch of ``before + behind`` words."""
+    merged: list[list[int]] = []
+    for j in hits:
+        if merged and j - before <= merged[-1][1]:
+            merged[-1][1] = j + behind
+        else:
+            merged.append([max(0, j - before), j + behind])
+    out = []
+    for a, b in merged:
+        step = longest - before - behind
+        out += [(x, min(b, x + longest)) for x in range(a, max(a + 1, b - before - behind), step)]
+    return out
+
+
+def leaks(item: list[str], own: list[bool], text: list[str], least_words: int, block: int = BLOCK_WORDS) -> bool:
     """Whether the text holds ``least_words`` consecutive words of the item.
 
-    own[k] tells that the item alone has the n-gram at its word k. Long texts are aligned
-    in windows around the seeds only.
+    own[k] tells that the item alone has the n-gram at its word k. The item is taken in
+    blocks that overlap by half, so one of them holds ``least_words`` of any passage, and
+    the text in windows around the block's seeds.
     """
     n = SEED_WORDS
     code = {w: k for k, w in enumerate(dict.fromkeys(item))}
     words = np.array([code[w] for w in item], dtype=np.int32)
-    full = np.array([code.get(w, -1) for w in text], dtype=np.int32)
-    seeds = {tuple(words[k : k + n]) for k in range(len(item) - n + 1) if own[k]}
-    hits = [
-        j for j in np.nonzero(full[: len(full) - n + 1] >= 0)[0].tolist()
-        if full[j + 1] >= 0 and tuple(full[j : j + n]) in seeds
-    ]
-    reach = len(item) + 8
-    spans: list[list[int]] = []
-    for j in hits:
-        if spans and j - reach <= spans[-1][1]:
-            spans[-1][1] = j + reach
-        else:
-            spans.append([max(0, j - reach), j + reach])
+    full = np.fromiter((code.get(w, -1) for w in text), dtype=np.int32, count=len(text))
+    if len(words) < n or len(full) < n:
+        return False
+    # n-grams of both as one number each
+    base = np.int64(len(code) + 2)
+    pack = lambda x: ((x[:-2].astype(np.int64) + 2) * base + x[1:-1] + 2) * base + x[2:] + 2
+    seeds, grams = pack(words), pack(full)
+    grams[(full[:-2] < 0) | (full[1:-1] < 0) | (full[2:] < 0)] = -1
+    own_at = np.array(own[: len(seeds)], dtype=bool)
+    block = max(block, 2 * least_words)
     least = int(least_words * (LEAST_EQUAL * MATCH + (1 - LEAST_EQUAL) * MISMATCH))
-    for a, b in spans:
-        part = full[a:b].copy()
-        while True:
-            score, i0, i1, pack, equal = best_alignment(words, part)
-            if score < least:
-                break
-            span = i1 - i0 + 1
-            alone = sum(own[k] and equal[k : k + n].all() for k in range(i0, min(i1 + 1, len(item) - n + 1)))
-            if span >= least_words and equal.sum() >= LEAST_EQUAL * span and alone >= LEAST_SEEDS:
+    starts = range(0, max(1, len(words) - block // 2), block // 2)
+    for first in starts:
+        part_words = words[first : first + block]
+        alone_at = own_at[first : first + block - n + 1]
+        hits = np.nonzero(np.isin(grams, seeds[first : first + block - n + 1][alone_at]))[0].tolist()
+        if len(hits) < 2:
+            continue
+        reach = len(part_words) + 8
+        for a, b in _spans(hits, reach, reach, 4 * reach):
+            if _passage(part_words, alone_at, full[a:b].copy(), least_words, least):
                 return True
-            j0, j1 = divmod(pack, len(part) + 1)
-            part[j0:j1] = -1  # look for another passage
     return False
 
 
+def _passage(words: np.ndarray, alone_at: np.ndarray, text: np.ndarray, least_words: int, least: int) -> bool:
+    """Whether some alignment of the two is long, equal and own enough."""
+    n = SEED_WORDS
+    while True:
+        score, i0, i1, pack, equal = best_alignment(words, text)
+        if score < least:
+            return False
+        span = i1 - i0 + 1
+        alone = [k for k in range(i0, min(i1 + 1, len(alone_at))) if alone_at[k] and equal[k : k + n].all()]
+        if span >= least_words and equal.sum() >= LEAST_EQUAL * span and alone and alone[-1] - alone[0] >= n:
+            return True
+        j0, j1 = divmod(pack, len(text) + 1)
+        text[j0:j1] = -1  # look for another passage
+
+
+def candidates(docs: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, item_id) with seeds of the item in places that agree.
+
+    docs: (doc_id, text); seeds: (gram, item_id, k). The offset between the places of a
+    seed in document and item falls into two overlapping windows; offsets that differ by
+    up to DRIFT share one. A window passes with two seeds that do not overlap, of which
+    one is rare in the corpus, or with COMMON_SEEDS seeds of any frequency, as a passage
+    that was copied often has. Only numbers are kept of a window, so hot items and
+    phrases are combined before the shuffle.
+    """
+    grams = docs.select("doc_id", F.posexplode(grams_of(words_of(F.col("text")))).alias("p", "gram"))
+    hits = scratch.save(grams.join(checked_broadcast(seeds), "gram").select("doc_id", "item_id", "gram", "k", "p"))
+    n = docs.agg(F.count("*")).head()[0]
+    often = hits.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > max(COMMON_LEAST, n // COMMON_PART))
+    often = often.select("gram", F.lit(1).alias("common"))
+    w = F.floor((F.col("p") - F.col("k")) / DRIFT)
+    at = hits.join(checked_broadcast(often), "gram", "left").select(
+        "doc_id", "item_id", "k", F.coalesce("common", F.lit(0)).alias("common"), F.explode(F.array(w, w + 1)).alias("w")
+    )
+    pairs = at.groupBy("doc_id", "item_id", "w").agg(
+        F.min("k").alias("a"), F.max("k").alias("b"), F.min("common").alias("common"), F.count("*").alias("n")
+    )
+    enough = (F.col("b") - F.col("a") >= SEED_WORDS) & ((F.col("common") == 0) | (F.col("n") >= COMMON_SEEDS))
+    return pairs.filter(enough).select("doc_id", "item_id").distinct()
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, spark: SparkSession, least_words: int = 20,
 ) -> DataFrame:
@@ -130,15 +195,13 @@ def contaminated(
     each = it.select("item_id", F.posexplode("grams").alias("k", "gram"))
     owners = each.groupBy("gram").agg(F.count_distinct("item_id").alias("owners"))
     marked = scratch.save(each.join(owners, "gram"))
-    seeds = scratch.save(marked.filter("owners = 1").select("gram", "item_id").distinct())
+    seeds = scratch.save(marked.filter("owners = 1").select("gram", "item_id", "k"))
     own = marked.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("k", (F.col("owners") == 1).alias("o")))).alias("s"))
     known = scratch.save(
         it.join(own, "item_id").select("item_id", "item", F.transform("s", lambda x: x["o"]).alias("own"))
     )
     text = docs.select("doc_id", F.col("text").alias("text"))
-    grams = text.select("doc_id", F.explode(F.array_distinct(grams_of(words_of(F.col("text"))))).alias("gram"))
-    pairs = grams.join(checked_broadcast(seeds), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
-    pairs = scratch.save(pairs.filter(F.col("n") >= LEAST_SEEDS).select("doc_id", "item_id"))
+    pairs = scratch.save(candidates(text, seeds, scratch))
     rows = text.join(pairs, "doc_id").select("doc_id", "item_id", words_of(F.col("text")).alias("words"))
     rows = rows.join(checked_broadcast(known), "item_id")
 
