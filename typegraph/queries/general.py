@@ -108,14 +108,30 @@ QUERIES = {
 
 def _bare(c: str) -> str:
     """SQL for a bare upper-case name of the test tables."""
-    plain = c
-    for _ in range(4):
-        plain = f"regexp_replace({plain}, '<[^<>]*>', '', 'g')"
+    # type arguments go by the depth of their brackets
+    parts = f"list_transform(regexp_extract_all({c}, '[<>]|[^<>]+'), lambda x: {{'d': 0, 's': x}})"
+    step = (
+        "CASE WHEN b.s = '<' THEN {'d': a.d + 1, 's': a.s} WHEN b.s = '>' AND a.d > 0 THEN {'d': a.d - 1, 's': a.s} "
+        "WHEN a.d > 0 THEN a ELSE {'d': a.d, 's': a.s || b.s} END"
+    )
+    plain = f"CASE WHEN contains({c}, '<') THEN (list_reduce(list_prepend({{'d': 0, 's': ''}}, {parts}), lambda a, b: {step})).s ELSE {c} END"
     plain = f"regexp_replace({plain}, '`[0-9]+', '', 'g')"
     lead = "(?:(?:ref|out|in|params|readonly|scoped|this|new|typeof|nameof)[\\s(]+)*"
     return f"upper(nullif(regexp_extract({plain}, '^[\\s(]*{lead}(?:\\w+\\s*::\\s*)?(\\w+(?:\\.\\w+)*)', 1), ''))"
 
 
+def _file(c: str) -> str:
+    """SQL for the one key of all spellings of a file."""
+    p = f"replace({c}, chr(92), '/')"
+    parts = f"list_transform(list_filter(string_split({p}, '/'), lambda x: x NOT IN ('', '.')), lambda x: [x])"
+    step = (
+        "CASE WHEN b[1] = '..' AND len(a) > 0 AND a[-1] <> '..' THEN a[:-2] "
+        f"WHEN b[1] = '..' AND len(a) = 0 AND starts_with({p}, '/') THEN a ELSE list_concat(a, b) END"
+    )
+    walked = f"array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), {parts}), lambda a, b: {step}), '/')"
+    return f"upper(CASE WHEN {c} IS NULL THEN NULL WHEN starts_with({p}, '/') THEN '/' ELSE '' END || {walked})"
+
+
 def _target(c: str, resolved: str) -> str:
     return f"CASE WHEN coalesce({resolved}, false) THEN {_bare(c)} ELSE regexp_extract({_bare(c)}, '[^.]*$') END"
 
@@ -164,12 +180,12 @@ FROM h""",
     "p3_descendants": _P3 + """
 SELECT a AS type_key, count(*) AS n_descendants, CAST(max(i) AS INTEGER) AS height
 FROM (SELECT unnest(path) AS a, generate_subscripts(path, 1) AS i FROM h WHERE NOT round) GROUP BY a""",
-    "p4_found": """
+    "p4_found": f"""
 WITH ok AS (SELECT run_id, started_at, lag(started_at) OVER (ORDER BY started_at, run_id) AS prev
             FROM (SELECT DISTINCT run_id, started_at FROM scan_runs WHERE status = 'succeeded' AND started_at IS NOT NULL)),
 f AS (SELECT DISTINCT fragment_id, scanned_at, arrived_at, coalesce(is_gone, false) AS gone,
-        CASE WHEN regexp_full_match(hash, '[0-9A-Fa-f]{40}') THEN upper(hash) END AS digest,
-        upper(regexp_replace(regexp_replace(replace(file_path, chr(92), '/'), '/(\\.?/)+', '/', 'g'), '^(\\./)+', '')) AS k
+        CASE WHEN regexp_full_match(hash, '[0-9A-Fa-f]{{40}}') THEN upper(hash) END AS digest,
+        {_file('file_path')} AS k
       FROM file_fragments),
 r AS (SELECT f.*, ok.run_id, ok.started_at FROM f JOIN ok ON f.arrived_at < ok.started_at AND (ok.prev IS NULL OR f.arrived_at >= ok.prev)),
 one AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY k, run_id ORDER BY scanned_at DESC, fragment_id DESC) = 1),

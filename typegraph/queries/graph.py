@@ -10,7 +10,7 @@ from typegraph.functions.names import bare_key, file_key, last_segment, relation
 from typegraph.operators import resolve, slices, text, traverse
 from typegraph.operators.rank import pagerank
 from typegraph.plans.scratch import Scratch
-from typegraph.queries.general import _bare, _target
+from typegraph.queries.general import _bare, _file, _target
 from typegraph.schema import MESSAGE_RELATIONS, RELATIONS, is_test_double, relation_order
 from typegraph.session import table
 from typegraph.streaming.watch import windowed_counts
@@ -475,7 +475,6 @@ def _simple(c: str) -> str:
 _DOUBLE = "regexp_matches(regexp_extract({}, '[^.]*$'), '(TESTS?$|MOCK|FAKE|STUB|BUILDER)')"
 _WEIGHT = "CASE {} " + " ".join(f"WHEN '{r}' THEN {w}" for r, _, w in RELATIONS) + " ELSE 1 END"
 _ORDER = "CASE {} " + " ".join(f"WHEN '{r}' THEN {o}" for r, o, _ in RELATIONS) + f" ELSE {len(RELATIONS)} END"
-_FILE = "upper(regexp_replace(regexp_replace(replace({}, chr(92), '/'), '/(\\.?/)+', '/', 'g'), '^(\\./)+', ''))"
 
 _BASE = f"""
 WITH RECURSIVE node0 AS (
@@ -561,7 +560,7 @@ SELECT doc_id AS {out}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5
 FROM h JOIN df USING (term) CROSS JOIN tot GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10"""
 
 
-_FRAG = f"SELECT DISTINCT {_FILE.format('file_path')} AS key, upper(hash) AS hash, is_gone, scanned_at, fragment_id FROM file_fragments"
+_FRAG = f"SELECT DISTINCT {_file('file_path')} AS key, upper(hash) AS hash, is_gone, scanned_at, fragment_id FROM file_fragments"
 
 SQL = {
     "graph_stats": _BASE + """
@@ -640,8 +639,8 @@ SELECT callee, callee_member, caller, member, line, (SELECT count(*) FROM c) AS
 SELECT service AS key, impl AS other, lifetime, arg_min(line, ord) AS line, 'service' AS side FROM bind GROUP BY 1, 2, 3
 UNION ALL SELECT impl, service, lifetime, arg_min(line, ord), 'impl' FROM bind GROUP BY 1, 2, 3""",
     "symbol_resolve": _BASE + f""",
-rf AS (SELECT DISTINCT {_bare('to_type')} AS raw, coalesce(upper(ns), '') AS ns, {_FILE.format('file_path')} AS file_key FROM type_edges WHERE NOT coalesce(to_resolved, false)),
-fr AS (SELECT {_FILE.format('file_path')} AS file_key, usings, aliases FROM file_fragments QUALIFY row_number() OVER (PARTITION BY file_key ORDER BY scanned_at DESC, fragment_id DESC) = 1),
+rf AS (SELECT DISTINCT {_bare('to_type')} AS raw, coalesce(upper(ns), '') AS ns, {_file('file_path')} AS file_key FROM type_edges WHERE NOT coalesce(to_resolved, false)),
+fr AS (SELECT {_file('file_path')} AS file_key, usings, aliases FROM file_fragments QUALIFY row_number() OVER (PARTITION BY file_key ORDER BY scanned_at DESC, fragment_id DESC) = 1),
 us AS (SELECT DISTINCT file_key, upper(unnest(usings)) AS u FROM fr),
 al AS (SELECT file_key, upper(e.key) AS a, regexp_extract(upper(e.value), '[^.]*$') AS t FROM (SELECT file_key, unnest(map_entries(aliases)) AS e FROM fr)),
 q AS (SELECT raw, ns, rf.file_key, coalesce(al.t, {_simple('raw')}) AS seg FROM rf LEFT JOIN al ON al.file_key = rf.file_key AND al.a = {_simple('raw')} WHERE raw IS NOT NULL AND rf.file_key IS NOT NULL),
@@ -696,7 +695,7 @@ SELECT user_id, CAST(sum(f) AS BIGINT) AS n_sessions, count(*) AS n_events FROM
     "stream_events": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "json_props": "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(json_extract_string(props, '$.k')) AS n FROM events GROUP BY 1",
     "semi_external": _BASE + " SELECT dst AS key, count(*) AS n FROM edge WHERE dst IN (SELECT upper(simple_name) FROM external_types) GROUP BY 1",
-    "anti_gone": _BASE + f" SELECT key FROM node WHERE NOT EXISTS (SELECT 1 FROM source_files f WHERE {_FILE.format('f.file_path')} = {_FILE.format('node.file_path')})",
+    "anti_gone": _BASE + f" SELECT key FROM node WHERE NOT EXISTS (SELECT 1 FROM source_files f WHERE {_file('f.file_path')} = {_file('node.file_path')})",
 }
 _NEAR = _bfs_sql(_BACK, _SEEDS, 2)
 SQL["explore"] = _NEAR + f""",
