@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from typegraph.functions.names import bare_key, file_key, relation_key, target_key
 from typegraph.operators.hierarchy import descendants, hierarchy
-from typegraph.operators.incremental import VersionedState, process_batch, run_history
+from typegraph.operators.incremental import Manifest, VersionedState, content_digest, process_batch, readable_digest, run_history
 from typegraph.operators.orphans import orphan_references
 from typegraph.operators.skew import dominant_keys, key_statistics
 from typegraph.plans.scratch import Scratch
@@ -26,6 +26,7 @@ def test_names(spark):
     names = {
         " \tFoo ": "FOO", "Foo?": "FOO", "Foo ?": "FOO", "Foo[]": "FOO", "Foo<T>[]?": "FOO", "A.Foo<List<int>>": "A.FOO", "Foo`2": "FOO",
         "global::A.B": "A.B", "Foo<Guid, int>": "FOO", "ref Foo": "FOO", "typeof(Foo)": "FOO", "@class": "CLASS", "Outer<T>.Inner": "OUTER.INNER",
+        "A<B<C<D<E<F<G>>>>>>.Inner": "A.INNER", "A<B>.C<D<E>>": "A.C", "List<A>>.Foo": "LIST", "A<B.Inner": "A", "<>": None,
         "In": "IN", "A . B": "A.B", "Foo*": "FOO", "(Foo)": "FOO", "Größe": "GRÖSSE" if "Größe".upper() == "GRÖSSE" else None, "": None, "  ": None, "?": None, None: None,
     }
     assert one(spark, bare_key, list(names)) == list(names.values())
@@ -35,6 +36,9 @@ def test_names(spark):
 
 
 def test_file_spellings(spark):
+    deep = ["a/b/c/d/e/f/../../../../../../x.cs", "./a/b/../../x.cs", "x.cs"]
+    assert set(one(spark, file_key, deep)) == {"X.CS"}
+    assert one(spark, file_key, ["../a", "a/../../b", "/../x", "/a/", "a/.../b"]) == ["../A", "../B", "/X", "/A", "A/.../B"]
     same = ["a/b/c.cs", "A\\B\\C.cs", "./a/b/c.cs", ".\\a\\b\\c.cs", "a//b/c.cs", "a/./b/c.cs", "a/x/../b/c.cs", "a/b/./././c.cs"]
     assert set(one(spark, file_key, same)) == {"A/B/C.CS"}
     assert one(spark, file_key, [None, "a/b/d.cs"]) == [None, "A/B/D.CS"]
@@ -173,6 +177,49 @@ def test_failed_run_leaves_no_trace(spark):
     assert {r["fragment_id"] for r in state.read(state.current().results[1:]).filter("is_case").collect()} == set()
 
 
+def test_two_writers_of_one_version(spark):
+    """Of writers that commit the same version at once, one alone succeeds."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = Scratch(spark, "t").root
+    for version in (1, 2, 3):
+
+        def commit(k):
+            try:
+                VersionedState(spark, root).commit(Manifest(version, [], [f"by {k}"]))
+            except RuntimeError:
+                return None
+            return f"by {k}"
+
+        with ThreadPoolExecutor(8) as pool:
+            done = [r for r in pool.map(commit, range(8)) if r]
+        assert len(done) == 1 and VersionedState(spark, root).current().results == done
+
+
+def test_only_touched_buckets_are_read(spark, monkeypatch):
+    import typegraph.operators.incremental as inc
+
+    monkeypatch.setattr(inc, "BUCKET_ROWS", 10)
+    state = VersionedState(spark, Scratch(spark, "t").root)
+    schema = "key string, scanned_at timestamp_ntz, fragment_id long, gone boolean, digest string"
+    rows = [(f"k{k}", T0, k, False, "a" * 40) for k in range(200)]
+    process_batch(state, spark.createDataFrame(rows, schema), 1)
+    at = state.current()
+    assert at.buckets == 20
+    plan = state.known(at, None, [3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "(bucket#" in plan.split("PartitionFilters:")[1].split("]")[0]
+    new = [("k7", T0 + dt.timedelta(days=1), 900, False, "b" * 40), ("k8", T0 + dt.timedelta(days=1), 901, False, "a" * 40), ("z", T0, 902, True, None)]
+    m = process_batch(state, spark.createDataFrame(new, schema), 2)
+    assert {r["fragment_id"] for r in state.read(m.results[1:]).filter("is_case").collect()} == {900}
+    assert state.known(m).count() == 201
+
+
+def test_digest_of_columns(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "a", ""), (4, None, "a")], "i int, x string, y string")
+    got = {r["i"]: r["d"] for r in df.select("i", readable_digest(content_digest(["x", "y"])).alias("d")).collect()}
+    assert got[1] == got[2] and len(set(got.values())) == 3 and None not in got.values()
+
+
 def test_state_is_compacted(spark, monkeypatch):
     import typegraph.operators.incremental as inc
 
