@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from typing import Any
 
-from typegraph.extract.lexer import Token, closing, closing_angle, pieces, tokenize
+from typegraph.extract.lexer import Tokens, closing, closing_angle, pieces, tokenize
 
 # Names with a meaning for the graph.
 HTTP_ATTRIBUTES = ("HttpGet", "HttpPost", "HttpPut", "HttpDelete", "HttpPatch", "HttpHead", "HttpOptions")
@@ -59,15 +59,17 @@ _REGISTER = re.compile(r"^(?:Try|)Add(?:Keyed|)(Scoped|Singleton|Transient)$")
 
 
 class _Reader:
-    def __init__(self, path: str, tokens: list[Token]):
+    def __init__(self, path: str, tokens: Tokens):
         self.t = tokens
         self.out: dict[str, Any] = {
             "file_path": path, "usings": [], "aliases": {}, "nodes": [], "edges": [], "endpoints": [], "call_sites": [],
-            "di_bindings": [], "members": [], "return_sigs": [], "pending_calls": [], "pending_locals": [],
+            "di_bindings": [], "members": [], "return_sigs": [], "pending_calls": [], "pending_locals": [], "failed": False,
         }
         self.ns: list[str] = []
         self.types: list[dict[str, Any]] = []
         self.member: str | None = None
+        self.chains: dict[tuple[int, int], int] = {}
+        self.walked: dict[int, tuple[int, list[dict[str, Any]]]] = {}
 
     # ---- small readers
 
@@ -124,11 +126,12 @@ class _Reader:
 
     # ---- rows
 
-    def edge(self, to: str, relation: str, line: int, member: str | None = None, src: str | None = None) -> None:
+    def edge(self, to: str, relation: str, line: int, member: str | None = None, src: str | None = None, reverse: bool = False) -> None:
+        """A relation of the type at hand, or of ``src``, to a written name; ``reverse`` for one of a written ``src`` to the type at hand."""
         src = src or self.owner
         if src:
             self.out["edges"].append(
-                {"from_type": src, "from_resolved": True, "to_type": to, "to_resolved": False, "ns": self.namespace,
+                {"from_type": src, "from_resolved": not reverse, "to_type": to, "to_resolved": reverse, "ns": self.namespace,
                  "relation": relation, "line": line, "from_member": member}
             )
 
@@ -274,9 +277,9 @@ class _Reader:
         line = self.t[a].line
         args = self.type_names(k, b) if k < b and self.t[k].text == "<" else []
         if "." not in name and last in HANDLER_INTERFACES and args:
-            self.edge(self.owner or "", "handled-by", line, src=args[0])
-        looks = len(last) > 1 and last[0] == "I" and last[1].isupper()
+            self.edge(self.owner or "", "handled-by", line, src=args[0], reverse=True)
         for n in ([last] if last and last not in NOISE_TYPES else []) + args:
+            looks = len(n) > 1 and n[0] == "I" and n[1].isupper()
             self.edge(n, "implements" if looks else "inherits", line)
 
     def type_body(self, k: int, end: int) -> None:
@@ -489,9 +492,12 @@ class _Reader:
         elif k < stop and t[k].text == "(" and (c := closing(t, k, stop)) + 1 < stop and t[c + 1].kind in ("name", "string"):
             kind = self.type_names(k + 1, c)
         elif stop - 1 > k and t[stop - 1].text == ")":
-            op = next((x for x in range(stop - 1, k - 1, -1) if t[x].text == "(" and closing(t, x, stop) == stop - 1), None)
-            if op is not None and op > k and t[op - 1].text == ">":
-                lt = next((x for x in range(op - 1, k - 1, -1) if t[x].text == "<" and closing_angle(t, x, op) == op - 1), None)
+            op = t.match[stop - 1]
+            if op > k and t[op - 1].text == ">":
+                low = op - 1
+                while low > k and (t[low - 1].kind == "name" or t[low - 1].text in ("<", ">", ",", ".", "?", "[", "]", "::", "(", ")", "*")):
+                    low -= 1
+                lt = next((x for x in range(op - 1, low - 1, -1) if t[x].text == "<" and closing_angle(t, x, op) == op - 1), None)
                 if lt is not None and lt > k and t[lt - 1].text not in NO_ELEMENT_TYPE:
                     kind = self.type_names(lt + 1, op - 1)
         if kind and self.locals is not None:
@@ -525,22 +531,14 @@ class _Reader:
         """Index where the receiver before the name at k begins (k itself: none)."""
         t = self.t
         j = k
-        while j - 1 >= low and t[j - 1].text in (".", "?.", "::") or (j - 2 >= low and t[j - 1].text == "." and t[j - 2].text == "!"):
+        while j - 1 >= low and t[j - 1].text in (".", "?.", "::"):
             j -= 1
             if j - 1 >= low and t[j - 1].text == "!":
                 j -= 1
             if j - 1 < low:
-                return j
+                break
             if t[j - 1].text in (")", "]"):
-                want = t[j - 1].text
-                opening = {")": "(", "]": "["}[want]
-                depth, x = 0, j - 1
-                while x >= low:
-                    depth += (t[x].text == want) - (t[x].text == opening)
-                    if depth == 0:
-                        break
-                    x -= 1
-                j = x
+                j = max(t.match[j - 1], low)
                 if j - 1 >= low and t[j - 1].text == ">":
                     depth, x = 0, j - 1
                     while x >= low:
@@ -552,11 +550,15 @@ class _Reader:
                 if j - 1 >= low and t[j - 1].kind == "name" and t[j - 1].text not in ("await", "return", "if", "while", "in"):
                     j -= 1
                 else:
-                    return j
+                    break
             elif t[j - 1].kind in ("name", "string"):
                 j -= 1
             else:
-                return j
+                break
+            if (low, j) in self.chains:  # an earlier link of the same chain
+                j = self.chains[low, j]
+                break
+        self.chains[low, k] = j
         return j
 
     def receiver(self, a: int, b: int) -> list[dict[str, Any]] | None:
@@ -575,8 +577,15 @@ class _Reader:
         if a >= b or t[a].kind != "name" or (a + 1 < b and t[a + 1].text in ("(", "<")):
             return None
         name = t[a].text
-        head = [{"kind": "Local", "name": name, "ns": self.namespace, "type_simple_name": (self.locals or {}).get(name)}]
-        return self.members_after(head, a + 1, b)
+        known = (self.locals or {}).get(name)
+        at, steps = self.walked.get(a, (b, None))
+        if at < b and steps[0]["type_simple_name"] == known:  # an earlier link of the same chain goes so far
+            steps = self.members_after(list(steps), at, b)
+        else:
+            steps = self.members_after([{"kind": "Local", "name": name, "ns": self.namespace, "type_simple_name": known}], a + 1, b)
+        if steps:
+            self.walked[a] = (b, steps)
+        return steps
 
     def members_after(self, steps: list[dict[str, Any]], k: int, b: int) -> list[dict[str, Any]] | None:
         t = self.t
@@ -593,7 +602,7 @@ class _Reader:
             kind = "PropertyAccess"
             if k < b and t[k].text == "(":
                 kind, k = "MethodReturn", closing(t, k, b) + 1
-            steps = [*steps, {"kind": kind, "name": name, "ns": None, "type_simple_name": None}]
+            steps.append({"kind": kind, "name": name, "ns": None, "type_simple_name": None})
         return steps
 
     def invocation(self, low: int, k: int, opening: int, b: int) -> int | None:
@@ -620,7 +629,7 @@ class _Reader:
                      "callee_member": method, "ns": self.namespace, "line": line}
                 )
                 self.edge(known, "call", line, member=method)
-            elif self.owner and (len(steps) > 1 or steps[0]["name"] in (self.locals or {})):
+            elif self.owner and (steps[0]["type_simple_name"] or steps[0]["name"] in (self.locals or {})):  # no other root can be resolved
                 self.out["pending_calls"].append(
                     {"caller_type": self.owner, "caller_member": self.member or "(none)", "callee_member": method, "receiver": steps,
                      "ns": self.namespace, "line": line}
@@ -698,12 +707,14 @@ def _summary(docs: list[str]) -> str | None:
 
 
 def extract(path: str, code: str | None) -> dict[str, Any] | None:
-    """The fragment of one file without its hash; None for a text that cannot be read."""
+    """The fragment of one file without its hash; None for a text that cannot be read. ``failed``
+    tells that reading broke off."""
     if code is None:
         return None
+    reader = _Reader(path, Tokens())
     try:
-        reader = _Reader(path, tokenize(code))
+        reader.t = tokenize(code)
         reader.read()
-        return reader.out
-    except (IndexError, RecursionError):
-        return None
+    except (IndexError, RecursionError):  # what was read so far, marked
+        reader.out["failed"] = True
+    return reader.out

@@ -64,8 +64,8 @@ def fold_steps(start: DataFrame, steps: int, returns: DataFrame) -> DataFrame:
     """Follow chains of members through their return types.
 
     start: (id, type_key, members array<string>); returns: (type_key, member_key,
-    next_key), one row per member. A chain that meets an unknown member is dropped. The
-    loop has as many joins as the longest chain has steps.
+    next_key), one row per member. A member that the full name does not have is looked up
+    under its last segment. A chain that meets an unknown member is dropped. The loop has as many joins as the longest chain has steps.
     """
     at = start.select("id", "type_key", "members")
     for k in range(steps):
@@ -73,6 +73,13 @@ def fold_steps(start: DataFrame, steps: int, returns: DataFrame) -> DataFrame:
         live = at.filter(F.size("members") > k).withColumn("__m", member)
         done = at.filter(F.size("members") <= k)
         r = returns.select(F.col("type_key").alias("__t"), F.col("member_key").alias("__k"), "next_key")
-        live = live.join(r, (F.col("type_key") == F.col("__t")) & (F.col("__m") == F.col("__k")))
+        live = live.join(r, (F.col("type_key") == F.col("__t")) & (F.col("__m") == F.col("__k")), "left").drop("__t", "__k")
+        # a type outside of all namespaces may stand for a full name that has no such member
+        bare = returns.filter(~F.contains("type_key", F.lit("."))).select(
+            F.col("type_key").alias("__t"), F.col("member_key").alias("__k"), F.col("next_key").alias("__next")
+        )
+        simple = F.substring_index("type_key", ".", -1)
+        live = live.join(bare, F.col("next_key").isNull() & (simple == F.col("__t")) & (F.col("__m") == F.col("__k")), "left")
+        live = live.withColumn("next_key", F.coalesce("next_key", "__next")).filter("next_key is not null")
         at = done.unionByName(live.select("id", F.col("next_key").alias("type_key"), "members"))
     return at.select("id", "type_key")

@@ -38,10 +38,10 @@ FRAGMENT_DDL = (
     "members array<struct<type_name:string,member_name:string,kind:string,signature:string,start_line:int,end_line:int,is_public:boolean>>, "
     "return_sigs array<struct<type_name:string,member_name:string,kind:string,return_simple_type:string,ns:string>>, "
     f"pending_calls array<struct<caller_type:string,caller_member:string,callee_member:string,receiver:{_STEP},ns:string,line:int>>, "
-    f"pending_locals array<struct<declaring_type:string,declaring_member:string,local_name:string,initializer:{_STEP},ns:string>>"
+    f"pending_locals array<struct<declaring_type:string,declaring_member:string,local_name:string,initializer:{_STEP},ns:string>>, failed boolean"
 )
 #: Version of the extraction; fragments of another version are not read.
-PARSER_VERSION = 1
+PARSER_VERSION = 2
 
 
 def relation_order(label: Column) -> Column:
