@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from typegraph.plans.scratch import Scratch
 
 DAMPING = 0.85
 ITERATIONS = 20
-#: Up to so many distinct edges, counted before, one task iterates over arrays; beyond, the
-#: iterations are joins. Both give the same ranks.
-ONE_TASK_EDGES = 2_000_000
 
 
 def pagerank(
@@ -23,57 +19,39 @@ def pagerank(
     """(key, rank) over distinct edges (src, dst).
 
     Nodes are both ends of all edges, or the keys of ``nodes``; a target that is no node
-    loses its share. The mass of nodes without targets is spread evenly. The edges keep one
-    partitioning by source over all iterations; only sums per target move, combined on the
-    map side, so a target with a tenth of all edges is no burden.
+    loses its share. The mass of nodes without targets is spread evenly. Nodes get numbers
+    once. The edges stay in one partitioning by source over all iterations (kept on the
+    executors; a lost part is read again from its table), so an iteration moves one row per
+    node and the sums per target, combined on the map side: a target with a tenth of all
+    edges is no burden. Ranks are written after each iteration, so lineage stays short.
     """
     scratch = Scratch(spark, "rank")
     e = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
+    e = scratch.save(e)  # read for nodes, degrees and numbers
     if nodes is None:
         v = e.select(F.col("src").alias("key")).union(e.select(F.col("dst").alias("key"))).distinct()
     else:
         v = nodes.select("key").distinct()
-        e = e.join(v, e["src"] == v["key"], "left_semi")
     degree = e.groupBy("src").agg(F.count("*").alias("out"))
-    v = scratch.save(v.join(degree, v["key"] == degree["src"], "left").select("key", F.coalesce("out", F.lit(0)).alias("out")))
-    n = v.count()
+    v = v.join(degree, v["key"] == degree["src"], "left").select("key", F.coalesce("out", F.lit(0)).alias("out"))
+    v = scratch.save(v.withColumn("id", F.monotonically_increasing_id()))
+    size = v.agg(F.count("*").alias("n"), F.count(F.when(F.col("out") == 0, 1)).alias("ends")).head()
+    n = size["n"]
     if not n:
         return v.select("key", F.lit(None).cast("double").alias("rank"))
-    e = scratch.save(e)
-    if n <= ONE_TASK_EDGES and e.count() <= ONE_TASK_EDGES:
-        return _in_one_task(v, e, iterations, damping)
-    r = v.withColumn("rank", F.lit(1.0 / n))
+    number = lambda end, name: v.select(F.col("key").alias(end), F.col("id").alias(name))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = e.join(number("src", "s"), "src").join(number("dst", "d"), "dst").select("s", "d")
+    pairs = scratch.save(pairs).repartition(parts, "s").persist(StorageLevel.MEMORY_AND_DISK)
+    base = v.select("id", "out")
+    r, lost = base.withColumn("rank", F.lit(1.0 / n)), size["ends"] / n
     for _ in range(iterations):
-        lost = r.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0)).alias("lost"))
-        sent = r.filter("out > 0").select(F.col("key").alias("src"), (F.col("rank") / F.col("out")).alias("part"))
-        got = sent.join(e, "src").groupBy(F.col("dst").alias("key")).agg(F.sum("part").alias("got"))
-        base = (1 - damping) / n
-        r = v.join(got, "key", "left").crossJoin(F.broadcast(lost)).select(  # one row
-            "key", "out",
-            (F.lit(base) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"),
-        )
-        r = scratch.save(r)  # the next round reads it twice
-    return r.select("key", "rank")
-
-
-def _in_one_task(nodes: DataFrame, edges: DataFrame, iterations: int, damping: float) -> DataFrame:
-    """The same iteration over arrays, for graphs measured small."""
-    rows = nodes.select(F.col("key").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges.select("src", "dst"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = np.sort(pdf.loc[pdf["dst"].isna(), "src"].to_numpy(dtype=str))
-        pairs = pdf[pdf["dst"].notna()]
-        src = np.searchsorted(key, pairs["src"].to_numpy(dtype=str))
-        dst = np.searchsorted(key, pairs["dst"].to_numpy(dtype=str))
-        n = len(key)
-        inside = dst < n
-        inside[inside] = key[dst[inside]] == pairs["dst"].to_numpy(dtype=str)[inside]
-        out = np.bincount(src, minlength=n)
-        r = np.full(n, 1.0 / n)
-        for _ in range(iterations):
-            part = r[src] / out[src]
-            got = np.bincount(dst[inside], weights=part[inside], minlength=n)
-            r = (1 - damping) / n + damping * (got + r[out == 0].sum() / n)
-        return pd.DataFrame({"key": key, "rank": r})
-
-    return rows.withColumn("graph", F.lit(0)).groupBy("graph").applyInPandas(run, "key string, rank double")
+        sent = r.filter("out > 0").select(F.col("id").alias("s"), (F.col("rank") / F.col("out")).alias("part"))
+        got = sent.join(pairs, "s").groupBy(F.col("d").alias("id")).agg(F.sum("part").alias("got"))
+        rank = F.lit((1 - damping) / n + damping * lost / n) + F.lit(damping) * F.coalesce("got", F.lit(0.0))
+        seen = Observation()  # the mass of nodes without targets is summed while the ranks are written
+        r = base.join(got, "id", "left").select("id", "out", rank.alias("rank"))
+        r = scratch.save(r.observe(seen, F.sum(F.when(F.col("out") == 0, F.col("rank"))).alias("lost")))
+        lost = seen.get["lost"] or 0.0
+    pairs.unpersist()
+    return v.select("id", "key").join(r.select("id", "rank"), "id").select("key", "rank")

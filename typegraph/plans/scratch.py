@@ -2,7 +2,8 @@
 
 Iterative operators cut their lineage by writing a table and reading it back. The
 folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of our own is
-set only where that setting is absent, as in tests. A written table also gives the
+set only where that setting is absent on a local master, as in tests, and an error raised on
+a cluster without it. A written table also gives the
 planner true sizes, so a small side is broadcast only because its files are small and
 goes through a shuffle join otherwise.
 """
@@ -24,13 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="typegraph-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 class Scratch:
-    """A directory of one run of an operator under the shared folder."""
+    """A directory of one run of an operator under the shared folder. Its tables last as long as
+    the session, since results are read from them late; :func:`remove_all` frees them earlier."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
@@ -43,6 +47,7 @@ class Scratch:
         self._n += 1
         path = f"{self.root}/t{self._n}"
         df.write.mode("overwrite").parquet(path)
+        self.last = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self) -> None:
@@ -63,6 +68,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def remove_all() -> None:
+    """Delete the tables of all runs so far, for sessions that last long; results that have
+    not been read by then can't be."""
+    while _OPEN:
+        _OPEN.pop().remove()
+
+
 @atexit.register
 def _clean() -> None:
     for s in _OPEN:

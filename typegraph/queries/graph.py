@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from typegraph.functions.names import bare_key, file_key, last_segment, relation_key, target_key
 from typegraph.operators import resolve, slices, text, traverse
 from typegraph.operators.rank import pagerank
+from typegraph.plans.kept import kept
 from typegraph.plans.scratch import Scratch
 from typegraph.queries.general import _bare, _file, _target
 from typegraph.schema import MESSAGE_RELATIONS, RELATIONS, is_test_double, relation_order
@@ -18,6 +19,7 @@ from typegraph.streaming.watch import windowed_counts
 ORACLE_SCALE = 10  # digits to which ranks are compared
 
 
+@kept("type_nodes")
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     """One row per declared type."""
     n = table(spark, d, "type_nodes").select(
@@ -27,6 +29,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return resolve.dedupe_nodes(n.distinct()).withColumn("simple", last_segment(F.col("key")))
 
 
+@kept("type_edges", "type_nodes")
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """Resolved edges (ord, src, dst, relation, line, member) without void and self edges."""
     e = table(spark, d, "type_edges").select(
@@ -51,6 +54,7 @@ def _declared(spark: SparkSession, d: str, rows: DataFrame, col: str, out: str)
     return j.withColumn(out, F.coalesce("__full", col)).drop("__full", "__simple", col)
 
 
+@kept("call_sites", "type_nodes")
 def calls(spark: SparkSession, d: str) -> DataFrame:
     """Resolved call-sites (ord, caller, member, callee, callee_member, line)."""
     c = table(spark, d, "call_sites").select(
@@ -60,6 +64,7 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
     return _declared(spark, d, c, "to", "callee").drop("full")
 
 
+@kept("di_bindings", "type_nodes")
 def di(spark: SparkSession, d: str) -> DataFrame:
     """Bindings (ord, service, impl, lifetime, line)."""
     b = table(spark, d, "di_bindings").select(
@@ -81,6 +86,7 @@ def in_degrees(e: DataFrame) -> DataFrame:
     return e.select("src", "dst").distinct().groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("n_in"))
 
 
+@kept("type_edges", "type_nodes")
 def start_type(spark: SparkSession, d: str) -> DataFrame:
     """The declared type with most distinct users."""
     n = nodes(spark, d).select("key")
@@ -122,6 +128,7 @@ def dominant_relation(spark: SparkSession, d: str) -> DataFrame:
     return traverse.dominant_relations(edges(spark, d))
 
 
+@kept("type_edges", "type_nodes")
 def rank(spark: SparkSession, d: str) -> DataFrame:
     """PageRank of every type."""
     return pagerank(edges(spark, d), spark).withColumn("rank", F.round("rank", ORACLE_SCALE))
