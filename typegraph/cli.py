@@ -57,8 +57,10 @@ def answer(spark: SparkSession, graph: Graph, command: str, name: str, member: s
         c = c if member is None else c.filter(F.upper("callee_member") == member.upper())
         return c.orderBy("callee_member", "caller", "file_path", "line").limit(limit)
     if command == "trace":
-        found = traverse.dedupe_traces(traverse.traces(e, graph.endpoints, start, depth, spark))
-        return found.orderBy(F.size("path"), "path").limit(15)
+        found = traverse.best_traces(e, graph.endpoints, start, depth, spark)
+        if not found.isEmpty():
+            return found
+        return traverse.trace_fallbacks(e, graph.di, graph.endpoints, depth, spark).join(start, "key", "left_semi").orderBy("kind", "rn")
     if command == "flow":
         calls = graph.calls if member else graph.calls.withColumn("member", F.lit("*"))
         steps = traverse.call_steps(calls, graph.di)

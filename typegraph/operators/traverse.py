@@ -70,63 +70,142 @@ def caller_tree(callers: DataFrame, start: DataFrame, depth: int, spark: SparkSe
     return _levels(grow(root), grow, depth - 1, scratch).drop("open")
 
 
-def traces(
-    edges: DataFrame, endpoints: DataFrame, start: DataFrame, max_nodes: int, spark: SparkSession, pivots: bool = True
-) -> DataFrame:
-    """Backward simple paths from start (key) to types with endpoints (key).
-
-    Returns (endpoint, path, marks, label). A hop over a message relation is marked
-    ``=>``. Once per path a pivot may follow an outgoing edge to a type that at least two
-    others use (``<->``). A path ends at the first type with an endpoint and has at most
-    max_nodes nodes. Only steps from which an endpoint is still within reach are taken.
-    """
-    max_nodes = min(max(max_nodes, 1), 12)
-    scratch = Scratch(spark, "trace")
-    dom = scratch.save(dominant_relations(edges))
+def _trace_steps(edges: DataFrame, pivots: bool) -> DataFrame:
+    """(at, to, mark): the steps of a trace; ``=>`` over messages, ``<->`` for a pivot."""
+    dom = dominant_relations(edges)
     message = F.col("relation").isin(*MESSAGE_RELATIONS)
     back = dom.filter(~is_test_double(F.col("src"))).select(
         F.col("dst").alias("at"), F.col("src").alias("to"), F.when(message, F.lit("=>")).otherwise(F.lit("->")).alias("mark")
     )
-    step = back
-    if pivots:
-        used = edges.select("src", "dst").distinct().groupBy("dst").agg(F.count("*").alias("n")).filter("n >= 2")
-        side = dom.filter(~message).join(used, "dst", "left_semi")
-        step = back.unionByName(side.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit("<->").alias("mark")))
-    ends = endpoints.select("key").distinct()
-    # distance of each node to the nearest endpoint, by levels against the direction of steps
-    near = scratch.save(ends.select("key", F.lit(0).alias("dist")))
-    front = near
-    for k in range(1, max_nodes):
+    if not pivots:
+        return back
+    used = edges.select("src", "dst").distinct().groupBy("dst").agg(F.count("*").alias("n")).filter("n >= 2")
+    side = dom.filter(~message).join(used, "dst", "left_semi")
+    return back.unionByName(side.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit("<->").alias("mark")))
+
+
+def reaching(step: DataFrame, ends: DataFrame, more: int, scratch: Scratch) -> DataFrame:
+    """(key, dist): types from which an end (key) is at most ``more`` steps (at, to) away."""
+    near = front = scratch.save(ends.select("key", F.lit(0).alias("dist")))
+    for k in range(1, more + 1):
         ahead = step.join(front, step["to"] == front["key"]).select(F.col("at").alias("key")).distinct()
         front = scratch.save(ahead.join(near, "key", "left_anti").withColumn("dist", F.lit(k)))
         if front.isEmpty():
             break
         near = near.unionByName(front)
-    near = scratch.save(near)
-    goal = near.select(F.col("key").alias("to"), "dist")
-    step = scratch.save(step.join(goal, "to"))
+    return scratch.save(near)
+
+
+def _grown(at: DataFrame, step: DataFrame) -> DataFrame:
+    """One more step of every open path; step: (at, to, mark, dist of to)."""
+    nxt = at.filter("dist > 0").select("node", "path", "marks", "pivoted").join(step, F.col("node") == F.col("at"))
+    nxt = nxt.filter(~F.array_contains("path", F.col("to")) & (~F.col("pivoted") | (F.col("mark") != "<->")))
+    return nxt.select(
+        F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path"),
+        F.concat("marks", F.array("mark")).alias("marks"), (F.col("pivoted") | (F.col("mark") == "<->")).alias("pivoted"), "dist",
+    )
 
-    def grow(at: DataFrame) -> DataFrame:
-        live = at.filter("dist > 0")
-        nxt = live.select("node", "path", "marks", "pivoted").join(step, F.col("node") == F.col("at"))
-        ok = (
-            ~F.array_contains("path", F.col("to")) & (F.size("path") + 1 + F.col("dist") <= max_nodes)
-            & (~F.col("pivoted") | (F.col("mark") != "<->"))
-        )
-        return nxt.filter(ok).select(
-            F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path"),
-            F.concat("marks", F.array("mark")).alias("marks"), (F.col("pivoted") | (F.col("mark") == "<->")).alias("pivoted"), "dist",
-        )
 
-    first = start.select("key").join(near, "key").select(
+def _first(start: DataFrame, near: DataFrame) -> DataFrame:
+    return start.select("key").join(near, "key").select(
         F.col("key").alias("node"), F.array("key").alias("path"), F.array().cast("array<string>").alias("marks"), F.lit(False).alias("pivoted"), "dist"
     )
-    found = _levels(first, grow, max_nodes - 1, scratch).filter("dist = 0").select(F.col("node").alias("endpoint"), "path", "marks").distinct()
+
+
+def _labelled(found: DataFrame) -> DataFrame:
     label = (
         F.when(F.array_contains("marks", "<->"), "heuristic").when(F.array_contains("marks", "=>"), "exact-message")
         .when(F.size("path") <= 3, "direct").otherwise("nearby")
     )
-    return found.withColumn("label", label)
+    return found.select(F.col("node").alias("endpoint"), "path", "marks").distinct().withColumn("label", label)
+
+
+def traces(
+    edges: DataFrame, endpoints: DataFrame, start: DataFrame, max_nodes: int, spark: SparkSession, pivots: bool = True
+) -> DataFrame:
+    """All backward simple paths from start (key) to types with endpoints (key).
+
+    Returns (endpoint, path, marks, label). A hop over a message relation is marked
+    ``=>``. Once per path a pivot may follow an outgoing edge to a type that at least two
+    others use (``<->``). A path ends at the first type with an endpoint and has at most
+    max_nodes nodes. Only steps from which an endpoint is still within reach are taken.
+    Their number may grow as a power of max_nodes; :func:`best_traces` is bounded.
+    """
+    max_nodes = min(max(max_nodes, 1), 12)
+    scratch = Scratch(spark, "trace")
+    step = scratch.save(_trace_steps(edges, pivots))
+    near = reaching(step, endpoints.select("key").distinct(), max_nodes - 1, scratch)
+    step = scratch.save(step.join(near.select(F.col("key").alias("to"), "dist"), "to"))
+    within = F.size("path") + F.col("dist") <= max_nodes
+    found = _levels(_first(start, near), lambda at: _grown(at, step).filter(within), max_nodes - 1, scratch)
+    return _labelled(found.filter("dist = 0"))
+
+
+#: Paths that a trace shows.
+TRACES = 15
+
+
+def best_traces(
+    edges: DataFrame, endpoints: DataFrame, start: DataFrame, max_nodes: int, spark: SparkSession, top: int = TRACES
+) -> DataFrame:
+    """The ``top`` shortest paths of :func:`traces` from one start, without doubtful ones.
+
+    Ordered by length, path and marks. Heuristic paths to endpoints that a path without
+    pivots reaches do not count. Paths are grown in order of the least length they can
+    end with, so nothing longer than the last path shown is ever built: from a hub that
+    endpoints use, one step is enough, however many paths of eight types there are.
+    """
+    max_nodes = min(max(max_nodes, 1), 12)
+    scratch = Scratch(spark, "trace")
+    step = scratch.save(_trace_steps(edges, True))
+    ends = scratch.save(endpoints.select("key").distinct())
+    # endpoints that a path without pivots reaches: a shortest walk repeats no type
+    plain = step.filter("mark <> '<->'").select("at", "to").join(ends, F.col("at") == F.col("key"), "left_anti")
+    sure = bfs(plain, start, max_nodes - 1, spark).select("key").unionByName(start.select("key")).join(ends, "key", "left_semi").distinct()
+    sure = scratch.save(sure.select(F.col("key").alias("node"), F.lit(True).alias("sure")))
+    near = reaching(step, ends, max_nodes - 1, scratch)
+    step = scratch.save(step.join(near.select(F.col("key").alias("to"), "dist"), "to"))
+    open_ = scratch.save(_first(start, near))
+    found = scratch.save(open_.filter("dist = 0"))
+    open_ = open_.filter("dist > 0")
+    for length in range(1, max_nodes + 1):
+        later = []
+        while True:
+            ripe = scratch.save(open_.filter(F.size("path") + F.col("dist") <= length))
+            later.append(open_.filter(F.size("path") + F.col("dist") > length))
+            if ripe.isEmpty():
+                break
+            grown = scratch.save(_grown(ripe, step))
+            ended = grown.filter("dist = 0").join(sure, "node", "left").filter("not pivoted or sure is null").drop("sure")
+            found = found.unionByName(ended)
+            open_ = grown.filter("dist > 0")
+        found = scratch.save(found)
+        if found.distinct().count() >= top:
+            break
+        open_ = later[0]
+        for more in later[1:]:
+            open_ = open_.unionByName(more)
+        open_ = scratch.save(open_)
+        if open_.isEmpty():
+            break
+    return _labelled(found).orderBy(F.size("path"), "path", "marks").limit(top)
+
+
+def trace_fallbacks(edges: DataFrame, di: DataFrame, endpoints: DataFrame, max_nodes: int, spark: SparkSession) -> DataFrame:
+    """(key, kind, other, rn): what is shown of types without a trace: ten callers, then implementations.
+
+    Types are both ends of edges and the services of ``di`` (service, impl).
+    """
+    scratch = Scratch(spark, "fallback")
+    step = scratch.save(_trace_steps(edges, True))
+    near = reaching(step, endpoints.select("key").distinct(), max_nodes - 1, scratch)
+    pairs = edges.select(F.col("dst").alias("key"), F.col("src").alias("other")).distinct().join(near, "key", "left_anti")
+    w = W.partitionBy("key").orderBy("other")
+    callers = pairs.withColumn("rn", F.row_number().over(w)).filter("rn <= 10").withColumn("kind", F.lit("caller"))
+    bound = di.select(F.col("service").alias("key"), F.col("impl").alias("other")).distinct().join(near, "key", "left_anti")
+    impls = bound.withColumn("rn", F.row_number().over(w)).withColumn("kind", F.lit("implementation"))
+    cols = ["key", "kind", "other", "rn"]
+    return callers.select(*cols).unionByName(impls.select(*cols))
 
 
 def dedupe_traces(found: DataFrame) -> DataFrame:

@@ -186,23 +186,23 @@ def callers_tree(spark: SparkSession, d: str) -> DataFrame:
     return t.select("key", "parent", "relation", "depth", F.array_join(F.transform("pos", lambda x: x.cast("string")), ".").alias("pos"))
 
 
-def _trace(spark: SparkSession, d: str) -> DataFrame:
-    quiet = in_degrees(edges(spark, d)).join(endpoints(spark, d), "key", "left_anti").join(nodes(spark, d).select("key"), "key")
-    first = quiet.filter("n_in between 2 and 4").orderBy("key").limit(5).select("key")
-    return traverse.dedupe_traces(traverse.traces(edges(spark, d), endpoints(spark, d), first, 4, spark))
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("endpoint", F.array_join("path", ">").alias("path"), F.array_join("marks", " ").alias("marks"), "label")
 
 
 def trace_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Paths of up to four types from some used types back to controllers."""
-    return _trace(spark, d).select(
-        "endpoint", F.array_join("path", ">").alias("path"), F.array_join("marks", " ").alias("marks"), "label"
-    )
+    """The fifteen shortest paths of up to eight types from the most used type back to controllers (a report)."""
+    return _shown(traverse.best_traces(edges(spark, d), endpoints(spark, d), start_type(spark, d), 8, spark))
 
 
-def trace_paths_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Paths of up to eight types, the usual bound, from the most used type back to controllers."""
-    found = traverse.dedupe_traces(traverse.traces(edges(spark, d), endpoints(spark, d), start_type(spark, d), 8, spark))
-    return found.select("endpoint", F.array_join("path", ">").alias("path"), F.array_join("marks", " ").alias("marks"), "label")
+def trace_short(spark: SparkSession, d: str) -> DataFrame:
+    """All paths of up to three types from the most used type back to controllers."""
+    return _shown(traverse.dedupe_traces(traverse.traces(edges(spark, d), endpoints(spark, d), start_type(spark, d), 3, spark)))
+
+
+def trace_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Callers and implementations of every type from which no controller is within eight types."""
+    return traverse.trace_fallbacks(edges(spark, d), di(spark, d), endpoints(spark, d), 8, spark)
 
 
 def _back(e: DataFrame) -> DataFrame:
@@ -339,13 +339,6 @@ def fragment_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_slice(spark: SparkSession, d: str) -> DataFrame:
-    """The first twenty lines behind every declared type that lies in a known file."""
-    files = table(spark, d, "source_files").select("file_path", "code").distinct()
-    spans = nodes(spark, d).select(F.col("key").alias("span_id"), "file_path", "start_line", "end_line")
-    return slices.slice_spans(files, spans, 20).select("span_id", "line", "text", "truncated")
-
-
-def source_slice_whole(spark: SparkSession, d: str) -> DataFrame:
     """All lines behind every declared type that lies in a known file."""
     files = table(spark, d, "source_files").select("file_path", "code").distinct()
     spans = nodes(spark, d).select(F.col("key").alias("span_id"), "file_path", "start_line", "end_line")
@@ -353,12 +346,6 @@ def source_slice_whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 def read_numbered(spark: SparkSession, d: str) -> DataFrame:
-    """The first ten numbered lines of every file, with the types that begin there."""
-    files = table(spark, d, "source_files").select("file_path", "code").distinct()
-    return slices.read_numbered(files, nodes(spark, d), 10)
-
-
-def read_numbered_whole(spark: SparkSession, d: str) -> DataFrame:
     """All numbered lines of every file, with the types that begin there."""
     files = table(spark, d, "source_files").select("file_path", "code").distinct()
     return slices.read_numbered(files, nodes(spark, d), None)
@@ -467,9 +454,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         stream_events, graph_stats, node_dedup, ambiguous_names, degrees, dominant_relation, pagerank_all, hubs, name_search, usages, callers_tree,
-        trace_paths, trace_paths_whole, bfs_callers, bfs_dependencies, nearby_endpoints, flow_tree, flow_members, call_sites_of, di_resolve,
+        trace_paths, trace_short, trace_fallback, bfs_callers, bfs_dependencies, nearby_endpoints, flow_tree, flow_members, call_sites_of, di_resolve,
         symbol_resolve, search_semantic, bm25_documents, term_stats, route_combine, content_hash, incremental_diff, fragment_upsert,
-        source_slice, source_slice_whole, read_numbered, read_numbered_whole, source_budget, compact_context, understand, explore, return_chain, rollup_events,
+        source_slice, read_numbered, source_budget, compact_context, understand, explore, return_chain, rollup_events,
         session_events, json_props, semi_external, anti_gone,
     )
 }
@@ -547,6 +534,11 @@ w AS (SELECT key AS seed, key, 0 AS dist FROM ({start})
 found AS (SELECT seed, key, min(dist) AS dist FROM w GROUP BY 1, 2 HAVING min(dist) > 0)"""
 
 
+_STEPS = _BASE + f""",
+used AS (SELECT key FROM deg WHERE n_in >= 2),
+st AS MATERIALIZED (
+  SELECT dst AS a, src AS t, CASE WHEN relation IN {MESSAGE_RELATIONS} THEN '=>' ELSE '->' END AS mark FROM dom WHERE NOT {_DOUBLE.format('src')}
+  UNION ALL SELECT src, dst, '<->' FROM dom WHERE relation NOT IN {MESSAGE_RELATIONS} AND dst IN (SELECT key FROM used))"""
 _BACK = f"SELECT DISTINCT dst AS a, src AS t FROM edge WHERE NOT {_DOUBLE.format('src')}"
 _FWD = "SELECT DISTINCT src AS a, dst AS t FROM edge"
 _SEEDS = "SELECT key FROM node WHERE contains(simple, 'LEDGERSERVICE') ORDER BY key LIMIT 3"
@@ -599,22 +591,22 @@ t AS (
   SELECT ranked.src, t.key, ranked.relation, depth + 1, list_append(pos, rn), list_append(path, ranked.src), NOT list_contains(path, ranked.src)
   FROM t JOIN ranked ON t.key = ranked.dst WHERE depth < 3 AND open)
 SELECT key, parent, relation, depth, array_to_string(pos, '.') AS pos FROM t""",
-    "trace_paths": _BASE + f""",
-used AS (SELECT key FROM deg WHERE n_in >= 2),
-st AS MATERIALIZED (
-  SELECT dst AS a, src AS t, CASE WHEN relation IN {MESSAGE_RELATIONS} THEN '=>' ELSE '->' END AS mark FROM dom WHERE NOT {_DOUBLE.format('src')}
-  UNION ALL SELECT src, dst, '<->' FROM dom WHERE relation NOT IN {MESSAGE_RELATIONS} AND dst IN (SELECT key FROM used)),
-seed AS (SELECT key FROM deg JOIN node USING (key) WHERE n_in BETWEEN 2 AND 4 AND key NOT IN (SELECT key FROM ends) ORDER BY key LIMIT 5),
+    "trace_short": _STEPS + """,
 w AS (
-  SELECT key AS node, [key] AS path, CAST([] AS VARCHAR[]) AS marks, false AS pivoted FROM seed
+  SELECT key AS node, [key] AS path, CAST([] AS VARCHAR[]) AS marks, false AS pivoted FROM start
   UNION ALL
   SELECT t, list_append(path, t), list_append(marks, mark), pivoted OR mark = '<->' FROM w JOIN st ON node = a
-  WHERE node NOT IN (SELECT key FROM ends) AND len(path) < 4 AND NOT list_contains(path, t) AND NOT (pivoted AND mark = '<->')),
+  WHERE node NOT IN (SELECT key FROM ends) AND len(path) < 3 AND NOT list_contains(path, t) AND NOT (pivoted AND mark = '<->')),
 f AS (
   SELECT DISTINCT node AS endpoint, array_to_string(path, '>') AS path, array_to_string(marks, ' ') AS marks,
     CASE WHEN list_contains(marks, '<->') THEN 'heuristic' WHEN list_contains(marks, '=>') THEN 'exact-message' WHEN len(path) <= 3 THEN 'direct' ELSE 'nearby' END AS label
   FROM w WHERE node IN (SELECT key FROM ends))
 SELECT * FROM f WHERE label <> 'heuristic' OR endpoint NOT IN (SELECT endpoint FROM f WHERE label <> 'heuristic')""",
+    "trace_fallback": _STEPS + """,
+near AS (SELECT key, 0 AS dist FROM ends UNION SELECT a, dist + 1 FROM near JOIN st ON near.key = st.t WHERE dist < 7),
+c AS (SELECT key, 'caller' AS kind, other, row_number() OVER (PARTITION BY key ORDER BY other) AS rn FROM (SELECT DISTINCT dst AS key, src AS other FROM edge)),
+i AS (SELECT key, 'implementation' AS kind, other, row_number() OVER (PARTITION BY key ORDER BY other) AS rn FROM (SELECT DISTINCT service AS key, impl AS other FROM bind))
+SELECT key, kind, other, CAST(rn AS INTEGER) AS rn FROM (SELECT * FROM c WHERE rn <= 10 UNION ALL SELECT * FROM i) WHERE key NOT IN (SELECT key FROM near)""",
     "bfs_callers": _bfs_sql(_BACK, "SELECT key FROM start", 2) + " SELECT seed, key, dist FROM found",
     "bfs_dependencies": _bfs_sql(_FWD, "SELECT min(src) AS key FROM edge WHERE dst IN (SELECT key FROM start)", 3) + " SELECT seed, key, dist FROM found",
     "nearby_endpoints": _BASE + f""",
@@ -672,14 +664,14 @@ SELECT key, CASE WHEN ol.w IS NULL THEN 'new' WHEN nl.w IS NULL THEN 'gone' WHEN
     "fragment_upsert": f"WITH f AS ({_FRAG}) SELECT key, arg_max(fragment_id, (scanned_at, fragment_id)) AS fragment_id FROM f GROUP BY 1",
     "source_slice": _BASE + """,
 fl AS (SELECT DISTINCT file_path, regexp_split_to_array(code, '\r\n|\n|\r') AS ls FROM source_files WHERE code IS NOT NULL),
-sp AS (SELECT key, start_line, end_line, ls FROM node JOIN fl USING (file_path) WHERE start_line >= 1 AND end_line >= start_line AND start_line <= len(ls))
-SELECT key AS span_id, CAST(start_line + i - 1 AS INTEGER) AS line, ls[start_line + i - 1] AS text, end_line - start_line + 1 > 20 AS truncated
-FROM sp, range(1, 21) t(i) WHERE start_line + i - 1 <= least(end_line, len(ls))""",
+sp AS (SELECT key, start_line, ls[start_line:end_line] AS cut FROM node JOIN fl USING (file_path) WHERE start_line >= 1 AND end_line >= start_line AND start_line <= len(ls))
+SELECT key AS span_id, CAST(unnest(range(start_line, start_line + len(cut))) AS INTEGER) AS line, unnest(cut) AS text FROM sp""",
     "read_numbered": _BASE + """,
 fl AS (SELECT DISTINCT file_path, regexp_split_to_array(code, '\r\n|\n|\r') AS ls FROM source_files WHERE code IS NOT NULL),
+rw AS (SELECT file_path, CAST(unnest(range(1, len(ls) + 1)) AS INTEGER) AS i, unnest(ls) AS l FROM fl),
 mk AS (SELECT file_path, start_line, string_agg(DISTINCT key, ',' ORDER BY key) AS starts FROM node GROUP BY 1, 2)
-SELECT fl.file_path, CAST(i AS INTEGER) AS line, lpad(CAST(i AS VARCHAR), 5, ' ') || ' ' || ls[i] AS text, coalesce(starts, '') AS starts
-FROM fl CROSS JOIN range(1, 11) t(i) LEFT JOIN mk ON mk.file_path = fl.file_path AND mk.start_line = i WHERE i <= len(ls)""",
+SELECT rw.file_path, i AS line, CASE WHEN i < 100000 THEN lpad(CAST(i AS VARCHAR), 5, ' ') ELSE CAST(i AS VARCHAR) END || ' ' || l AS text, coalesce(starts, '') AS starts
+FROM rw LEFT JOIN mk ON mk.file_path = rw.file_path AND mk.start_line = i""",
     "source_budget": _BASE + """,
 m AS (SELECT upper(ns) AS type_key, key AS member_name, end_line - start_line + 1 AS n, sum(end_line - start_line + 1) OVER (PARTITION BY upper(ns) ORDER BY start_line, key ROWS UNBOUNDED PRECEDING) AS total
   FROM node WHERE ns IS NOT NULL AND start_line >= 1 AND end_line >= start_line)
