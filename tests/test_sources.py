@@ -3,9 +3,11 @@
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from typegraph.sources.files import FragmentStore, is_source, read_sources, scan
+from typegraph.extract.scan import fragments
+from typegraph.sources.files import FragmentStore, is_source, plan_scan, read_sources, scan
 from typegraph.streaming.watch import watch_folder, windowed_counts
 
 
@@ -48,6 +50,32 @@ def test_scan_and_watch(spark, tmp_path):
     assert names(store.delete(gone)) == ["A2"]
 
 
+def test_store_versions(spark, tmp_path, monkeypatch):
+    import typegraph.sources.files as files
+
+    monkeypatch.setattr(files, "COMPACT_AFTER", 3)
+    store = FragmentStore(spark, str(tmp_path / "store"))
+    of = lambda *texts: fragments(spark.createDataFrame([(f"{t[-1]}.cs", f"class {t} {{ }}") for t in texts], "file_path string, code string"))
+    for k in range(6):
+        store.upsert(of(f"T{k}a", f"T{k}{k}"))
+    assert names(store.load()) == sorted(["T5a", *(f"T{k}{k}" for k in range(6))])
+    assert len(store._versions()) == 2 and len(store._tables(store._versions()[-1])) <= 3
+    stale = store._versions()
+    store.change(of("T6a"), spark.createDataFrame([("2.cs",), ("nope.cs",)], "file_path string"))
+    monkeypatch.setattr(FragmentStore, "_versions", lambda self: stale)
+    with pytest.raises(RuntimeError):
+        store.upsert(of("T7a"))  # another writer has placed that version
+    monkeypatch.undo()
+    assert names(store.load()) == sorted(["T6a", *(f"T{k}{k}" for k in (0, 1, 3, 4, 5))])
+
+
+def test_unreadable_texts_are_not_gone(spark):
+    stored = spark.createDataFrame([("a", "H"), ("b", "H"), ("c", None)], "file_path string, hash string")
+    now = spark.createDataFrame([("a", None), ("c", "x"), ("d", None)], "file_path string, code string")
+    got = {r["file_path"]: r["state"] for r in plan_scan(now, stored).collect()}
+    assert got == {"a": "changed", "b": "gone", "c": "changed", "d": "new"}
+
+
 def test_windowed_counts(spark, tmp_path):
     rows = [("2025-01-01 00:00:01", "a"), ("2025-01-01 00:00:02", "a"), ("2025-01-01 00:06:00", "b"), ("2025-01-01 01:00:00", "c")]
     spark.createDataFrame(rows, "t string, k string").select(F.to_timestamp_ntz("t").alias("t"), "k").write.parquet(str(tmp_path / "in"))

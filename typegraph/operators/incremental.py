@@ -20,13 +20,11 @@ import uuid
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typegraph.plans.joins import BROADCAST_ROWS, checked_broadcast
-from typegraph.plans.scratch import filesystem, remove_path
+from typegraph.plans.scratch import filesystem, place_once, read_text, remove_path
 
 _REDUCED = "key string, scanned_at timestamp_ntz, fragment_id bigint, gone boolean, digest string"
 _SCHEMA = _REDUCED + ", run_id bigint, version bigint, is_case boolean, bucket int"
@@ -62,11 +60,7 @@ class VersionedState:
         done = sorted(n for n in names if n.startswith("v") and n.endswith(".json"))
         if not done:
             return Manifest()
-        stream = fs.open(filesystem(self.spark, f"{self.root}/manifests/{done[-1]}")[1])
-        try:
-            return Manifest(**json.loads(bytes(stream.readAllBytes()).decode()))
-        finally:
-            stream.close()
+        return Manifest(**json.loads(read_text(self.spark, f"{self.root}/manifests/{done[-1]}")))
 
     def write(self, df: DataFrame) -> str:
         """Write a table that no manifest names yet; returns its path."""
@@ -75,42 +69,8 @@ class VersionedState:
         return path
 
     def commit(self, manifest: Manifest) -> None:
-        """Put a version in place; fails if that version exists.
-
-        On a local file system a hard link is made, which fails where the name is taken; on
-        HDFS the file is renamed without the right to overwrite; on others, object stores
-        above all, it is created without that right and appears when it is closed.
-        """
-        text = bytearray(json.dumps(manifest.__dict__).encode())
-        fs, final = filesystem(self.spark, f"{self.root}/manifests/v{manifest.version:010d}.json")
-        fs.mkdirs(final.getParent())
-        _, aside = filesystem(self.spark, f"{self.root}/aside-{uuid.uuid4().hex}")
-        scheme = fs.getUri().getScheme()
-        jvm = self.spark._jvm
-
-        def put(path) -> None:
-            out = fs.create(path, False)
-            out.write(text)
-            out.close()
-
-        try:
-            if scheme == "file":
-                put(aside)
-                place = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
-                jvm.java.nio.file.Files.createLink(place(final), place(aside))
-            elif scheme in ("hdfs", "viewfs"):
-                put(aside)
-                files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
-                none = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-                rights = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-                rights[0] = none
-                files.rename(aside, final, rights)
-            else:
-                put(final)
-        except (Py4JJavaError, CapturedException) as e:
-            raise RuntimeError(f"version {manifest.version} was committed by another run") from e
-        finally:
-            fs.delete(aside, False)
+        """Put a version in place; fails if that version exists."""
+        place_once(self.spark, f"{self.root}/manifests/v{manifest.version:010d}.json", json.dumps(manifest.__dict__))
 
     def read(self, tables: list[str]) -> DataFrame:
         """The rows of some of the tables."""

@@ -14,6 +14,8 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.sql import DataFrame, SparkSession
 
 _OPEN: list["Scratch"] = []
@@ -62,6 +64,52 @@ def filesystem(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def place_once(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in whole, or raise RuntimeError if that path is taken.
+
+    On a local file system a hard link is made, which fails where the name is taken; on
+    HDFS the file is renamed without the right to overwrite; on others, object stores
+    above all, it is created without that right and appears when it is closed.
+    """
+    fs, final = filesystem(spark, path)
+    fs.mkdirs(final.getParent())
+    _, aside = filesystem(spark, f"{path}.{uuid.uuid4().hex}.aside")
+    scheme, jvm = fs.getUri().getScheme(), spark._jvm
+
+    def put(at) -> None:
+        out = fs.create(at, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    try:
+        if scheme == "file":
+            put(aside)
+            place = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(place(final), place(aside))
+        elif scheme in ("hdfs", "viewfs"):
+            put(aside)
+            rename = jvm.org.apache.hadoop.fs.Options.Rename
+            rights = spark.sparkContext._gateway.new_array(rename, 1)
+            rights[0] = rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(aside, final, rights)
+        else:
+            put(final)
+    except (Py4JJavaError, CapturedException) as e:
+        raise RuntimeError(f"{path} is there already") from e
+    finally:
+        fs.delete(aside, False)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    fs, at = filesystem(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a path with everything under it, if it is there."""
     fs, at = filesystem(spark, path)

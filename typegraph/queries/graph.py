@@ -146,6 +146,13 @@ def hubs(spark: SparkSession, d: str) -> DataFrame:
     return r.join(in_degrees(e), "key", "left").orderBy(F.desc("rank"), "key").limit(15).select("key", "kind", F.coalesce("n_in", F.lit(0)).alias("n_in"))
 
 
+def hubs_external(spark: SparkSession, d: str) -> DataFrame:
+    """The fifteen most central types that are no test doubles, undeclared ones included (a report)."""
+    known = nodes(spark, d).select("key", F.lit(False).alias("external"))
+    r = rank(spark, d).join(known, "key", "left").filter(~is_test_double(F.col("key"))).join(in_degrees(edges(spark, d)), "key", "left")
+    return r.orderBy(F.desc("rank"), "key").limit(15).select("key", F.coalesce("external", F.lit(True)).alias("external"), F.coalesce("n_in", F.lit(0)).alias("n_in"))
+
+
 def name_search(spark: SparkSession, d: str) -> DataFrame:
     """Types whose name contains a pattern: exact, prefix and other matches by rank (top 30)."""
     p = "LEDGER"
@@ -359,14 +366,25 @@ def source_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compact_context(spark: SparkSession, d: str) -> DataFrame:
-    """The five best callers and the number of further ones for every declared type."""
+    """Of every declared type in use: its five best callers and the number of further ones (neither
+    where all callers are test doubles), its first five targets with their relations, its bindings."""
     e = edges(spark, d)
     c = traverse.ranked_callers(e, rank(spark, d), 5)
     top = c.groupBy("dst").agg(F.sort_array(F.collect_list(F.struct("rn", "src", "relation"))).alias("t"))
-    n = in_degrees(e)
-    out = nodes(spark, d).select("key").join(n, "key").join(top, F.col("key") == F.col("dst"), "left")
-    shown = F.coalesce(F.array_join(F.transform("t", lambda x: F.concat(x["src"], F.lit(" ("), x["relation"], F.lit(")"))), ", "), F.lit(""))
-    return out.select("key", shown.alias("callers"), (F.col("n_in") - F.coalesce(F.size("t"), F.lit(0))).cast("bigint").alias("extra"))
+    w = W.partitionBy("src").orderBy("first", "dst")
+    uses = e.groupBy("src", "dst").agg(F.min("ord").alias("first")).withColumn("rn", F.row_number().over(w)).filter("rn <= 5")
+    uses = uses.join(traverse.dominant_relations(e), ["src", "dst"]).groupBy(F.col("src").alias("key"))
+    uses = uses.agg(F.sort_array(F.collect_list(F.struct("rn", F.col("dst").alias("src"), "relation"))).alias("u"))
+    b = di(spark, d)
+    bound = b.select(F.col("service").alias("key"), F.concat(F.lit("as "), "impl").alias("b"))
+    bound = bound.union(b.select("impl", F.concat(F.lit("for "), "service"))).groupBy("key").agg(F.sort_array(F.collect_set("b")).alias("b"))
+    out = nodes(spark, d).select("key").join(in_degrees(e), "key").join(top, F.col("key") == F.col("dst"), "left")
+    out = out.join(uses, "key", "left").join(bound, "key", "left")
+    shown = lambda c: F.coalesce(
+        F.array_join(F.transform(c, lambda x: F.concat(x["src"], F.lit(" ("), x["relation"], F.lit(")"))), ", "), F.lit("")
+    )
+    extra = F.when(F.col("t").isNull(), 0).otherwise(F.col("n_in") - F.size("t")).cast("bigint")
+    return out.select("key", shown("t").alias("callers"), extra.alias("extra"), shown("u").alias("targets"), F.coalesce(F.array_join("b", ", "), F.lit("")).alias("bindings"))
 
 
 def understand(spark: SparkSession, d: str) -> DataFrame:
@@ -453,7 +471,7 @@ def stream_events(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        stream_events, graph_stats, node_dedup, ambiguous_names, degrees, dominant_relation, pagerank_all, hubs, name_search, usages, callers_tree,
+        stream_events, graph_stats, node_dedup, ambiguous_names, degrees, dominant_relation, pagerank_all, hubs, hubs_external, name_search, usages, callers_tree,
         trace_paths, trace_short, trace_fallback, bfs_callers, bfs_dependencies, nearby_endpoints, flow_tree, flow_members, call_sites_of, di_resolve,
         symbol_resolve, search_semantic, bm25_documents, term_stats, route_combine, content_hash, incremental_diff, fragment_upsert,
         source_slice, read_numbered, source_budget, compact_context, understand, explore, return_chain, rollup_events,
@@ -573,6 +591,8 @@ SELECT key, coalesce(n_edges, 0) AS n_edges, coalesce(n_out, 0) AS n_out, coales
     "dominant_relation": _BASE + " SELECT * FROM dom",
     "pagerank_all": _RANK + " SELECT key, CAST(round(rank * 1e6) AS BIGINT) AS ppm FROM rank",
     "hubs": _RANK + f""" SELECT key, kind, coalesce(n_in, 0) AS n_in FROM rank JOIN node USING (key) LEFT JOIN deg USING (key)
+WHERE NOT {_DOUBLE.format('key')} ORDER BY rank DESC, key LIMIT 15""",
+    "hubs_external": _RANK + f""" SELECT key, key NOT IN (SELECT key FROM node) AS external, coalesce(n_in, 0) AS n_in FROM rank LEFT JOIN deg USING (key)
 WHERE NOT {_DOUBLE.format('key')} ORDER BY rank DESC, key LIMIT 15""",
     "name_search": _RANK + """, uses AS (SELECT src AS key, count(DISTINCT dst) AS n_out FROM edge GROUP BY 1),
 b AS (SELECT service AS key FROM bind UNION SELECT impl FROM bind)
@@ -677,8 +697,12 @@ m AS (SELECT upper(ns) AS type_key, key AS member_name, end_line - start_line +
   FROM node WHERE ns IS NOT NULL AND start_line >= 1 AND end_line >= start_line)
 SELECT type_key, member_name, CAST(greatest(0, least(n, 300 - (total - n))) AS BIGINT) AS shown_lines,
   CASE WHEN total <= 300 THEN 'full' WHEN greatest(0, least(n, 300 - (total - n))) > 0 THEN 'part' ELSE 'signature' END AS show FROM m""",
-    "compact_context": _CALLERS + """, c AS (SELECT dst, string_agg(src || ' (' || relation || ')', ', ' ORDER BY rn) AS callers, count(*) AS n FROM ranked WHERE rn <= 5 GROUP BY 1)
-SELECT node.key, coalesce(callers, '') AS callers, n_in - coalesce(n, 0) AS extra FROM node JOIN deg USING (key) LEFT JOIN c ON c.dst = node.key""",
+    "compact_context": _CALLERS + """, c AS (SELECT dst, string_agg(src || ' (' || relation || ')', ', ' ORDER BY rn) AS callers, count(*) AS n FROM ranked WHERE rn <= 5 GROUP BY 1),
+u AS (SELECT src, string_agg(dst || ' (' || relation || ')', ', ' ORDER BY first, dst) AS targets FROM (
+  SELECT src, dst, min(ord) AS first FROM edge GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY src ORDER BY min(ord), dst) <= 5) JOIN dom USING (src, dst) GROUP BY 1),
+b AS (SELECT key, string_agg(DISTINCT b, ', ' ORDER BY b) AS bindings FROM (SELECT service AS key, 'as ' || impl AS b FROM bind UNION ALL SELECT impl, 'for ' || service FROM bind) GROUP BY 1)
+SELECT node.key, coalesce(callers, '') AS callers, CASE WHEN n IS NULL THEN 0 ELSE n_in - n END AS extra, coalesce(targets, '') AS targets, coalesce(bindings, '') AS bindings
+FROM node JOIN deg USING (key) LEFT JOIN c ON c.dst = node.key LEFT JOIN u ON u.src = node.key LEFT JOIN b ON b.key = node.key""",
     "understand": _BASE + """, o AS (SELECT src AS key, count(DISTINCT dst) AS n_out FROM edge GROUP BY 1),
 i AS (SELECT service AS key, string_agg(DISTINCT impl, ',' ORDER BY impl) AS impls FROM bind GROUP BY 1),
 s AS (SELECT impl AS key, string_agg(DISTINCT service, ',' ORDER BY service) AS services FROM bind GROUP BY 1)

@@ -19,11 +19,12 @@ def latest(batch: DataFrame) -> DataFrame:
 
 
 def apply_batch(batch: DataFrame, store: FragmentStore, root: str | None = None) -> None:
-    """Upsert a micro-batch; with a root, also drop the files no longer listed there."""
-    store.upsert(fragments(latest(batch)))
+    """Upsert a micro-batch and, with a root, drop the files no longer listed there, in one write of the changes."""
+    gone = None
     if root is not None:
-        there = read_sources(batch.sparkSession, root).select("file_path")
-        store.delete(store.load().select("file_path").join(there, "file_path", "left_anti"))
+        there = read_sources(batch.sparkSession, root).select("file_path")  # names alone, no contents
+        gone = store.load().select("file_path").join(there, "file_path", "left_anti")
+    store.change(fragments(latest(batch)), gone)
 
 
 def watch_folder(spark: SparkSession, root: str, store: FragmentStore, checkpoint: str, once: bool = False) -> StreamingQuery:
