@@ -22,6 +22,7 @@ def test_commands(spark, tmp_path, capsys):
     assert "nodes" in capsys.readouterr().out
     for args, want in [
         (["trace", "IStore", "-d", "4"], "APP.LEDGERCONTROLLER"), (["source", "Ledger", "Settle", "-r", root], "_store.Put"),
+        (["semantic", "settle a ledger"], "APP.LEDGER"),
     ]:
         cli.main([store, *args])
         assert want in capsys.readouterr().out, args

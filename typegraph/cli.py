@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from typegraph.operators import text, traverse
 from typegraph.operators.rank import pagerank
@@ -23,6 +24,17 @@ def _one(graph: Graph, name: str) -> DataFrame:
     return graph.nodes.sparkSession.createDataFrame([(found[0]["key"],)], "key string")
 
 
+def _documents(graph: Graph) -> DataFrame:
+    """(key, text) of the public types: name, summary, public members and the first forty targets."""
+    own = graph.members.filter("is_public").groupBy(F.col("type_key").alias("key"))
+    own = own.agg(F.array_join(F.sort_array(F.collect_set("member_name")), " ").alias("own"))
+    w = W.partitionBy("src").orderBy("file_path", "ord", "dst")
+    first = graph.edges.withColumn("rn", F.row_number().over(w)).filter("rn <= 40").groupBy(F.col("src").alias("key"))
+    first = first.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "dst"))), lambda x: F.substring_index(x["dst"], ".", -1)), " ").alias("uses"))
+    docs = graph.nodes.filter("is_public").join(own, "key", "left").join(first, "key", "left")
+    return docs.select("key", F.concat_ws(" ", "name", "summary", "own", "uses").alias("text"))
+
+
 def answer(spark: SparkSession, graph: Graph, command: str, name: str, member: str | None, depth: int, limit: int, root: str | None) -> DataFrame:
     """The rows of one command."""
     e = graph.edges
@@ -41,8 +53,7 @@ def answer(spark: SparkSession, graph: Graph, command: str, name: str, member: s
         r = pagerank(e, spark).join(graph.nodes.select("key", "kind"), "key").filter(~is_test_double(F.col("key")))
         return r.orderBy(F.desc("rank"), "key").limit(limit)
     if command == "semantic":
-        docs = graph.nodes.filter("is_public").select("key", F.concat_ws(" ", "name", "summary").alias("text"))
-        return text.bm25(docs, "key", "text", name, limit)
+        return text.bm25(_documents(graph), "key", "text", name, limit)
     if command == "read-file":
         files = read_sources(spark, root or ".").filter(F.col("file_path").endswith(name))
         return read_numbered(files, graph.nodes, limit).orderBy("line")

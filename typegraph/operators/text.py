@@ -43,4 +43,5 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, top: int) -> D
     s = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(total))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return s.groupBy("doc_id").agg(F.sum(part).alias("score")).filter("score > 0").orderBy(F.desc("score"), "doc_id").limit(top)
+    # sums of the same parts in another order differ in their last digits; equal scores must tie
+    return s.groupBy("doc_id").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0").orderBy(F.desc("score"), "doc_id").limit(top)

@@ -573,8 +573,9 @@ dd AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(coa
 tot AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM dd),
 h AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM dd) WHERE term IN ({listed}) GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM h GROUP BY 1)
-SELECT doc_id AS {out}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / a))), 6) AS score
-FROM h JOIN df USING (term) CROSS JOIN tot GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10"""
+SELECT doc_id AS {out}, round(s, 6) AS score FROM (
+  SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / a))), 9) AS s
+  FROM h JOIN df USING (term) CROSS JOIN tot GROUP BY doc_id) ORDER BY s DESC, doc_id LIMIT 10"""
 
 
 _FRAG = f"SELECT DISTINCT {_file('file_path')} AS key, upper(hash) AS hash, is_gone, scanned_at, fragment_id FROM file_fragments"
