@@ -174,7 +174,7 @@ def sorted_into_runs(rows: DataFrame, starts: list[datetime], since: datetime |
     )
     days = F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).alias("day")
     windows = windows.select("slot", F.when((F.col("slot") > 0) | F.lit(since is not None), F.col("lo")).alias("lo"), "hi", days)
-    day = F.greatest(F.to_date("arrived_at"), F.lit(first).cast("timestamp_ntz").cast("date"))
+    day = F.greatest(F.to_date("arrived_at"), F.lit(first.date()))
     at = rows.filter("key is not null and arrived_at is not null").withColumn("day", day)
     inside = (F.col("lo").isNull() | (F.col("arrived_at") >= F.col("lo"))) & (F.col("arrived_at") < F.col("hi"))
     return at.join(checked_broadcast(windows), "day").filter(inside).drop("day", "lo", "hi", "arrived_at")
