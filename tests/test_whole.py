@@ -163,12 +163,12 @@ def test_broken_history_goes_on(spark, monkeypatch):
 
     real, done = incremental.process_batch, []
 
-    def batch(state, part, run_id, read_before=None):
+    def batch(state, part, run_id, *rest):
         if run_id == 3 and not done.count("broken"):
             done.append("broken")
             raise OSError("the machine went down")
         done.append(run_id)
-        return real(state, part, run_id, read_before)
+        return real(state, part, run_id, *rest)
 
     monkeypatch.setattr(incremental, "process_batch", batch)
     root = Scratch(spark, "t").root
