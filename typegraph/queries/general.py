@@ -57,7 +57,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Number of descendants and height of every base type outside circles."""
+    """Number of descendants and height of every base type that is neither on a circle nor below one."""
     pairs = descendants(hierarchy(inheritance_links(spark, d), spark))
     return pairs.groupBy(F.col("ancestor").alias("type_key")).agg(
         F.count("*").alias("n_descendants"), F.max("distance").alias("height")
